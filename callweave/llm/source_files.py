@@ -130,8 +130,8 @@ def _file_evidence(f: DataFrame) -> DataFrame:
 def _dir_evidence(path: str) -> list[Column]:
     name = _last(path)
     when = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
-    vend = when(name.isin(*VENDOR_DIRS), 11.0) + when(name.isin(*WEAK_VENDOR_DIRS), 5.0) + when(name.rlike(VERSIONED_DIR), 5.0)
-    gen = when(name.isin(*GENERATED_DIRS), 11.0)
+    vend = when(name.isin(*VENDOR_DIRS), 16.0) + when(name.isin(*WEAK_VENDOR_DIRS), 5.0) + when(name.rlike(VERSIONED_DIR), 5.0)
+    gen = when(name.isin(*GENERATED_DIRS), 16.0)
     zero = F.lit(0.0)
     return [zero, gen + DIR_PRIOR, zero + DIR_PRIOR, vend + DIR_PRIOR, zero + DIR_PRIOR]
 
