@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import source_files
+from callweave.llm import encoding, leaks, mixture, source_files
 from callweave.runtime import table
 
 
@@ -23,8 +23,33 @@ def p1_labels(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select(F.col("path").alias("file"), "label", "confidence")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items")
+    return leaks.report_items(leaks.find_leaks(table(spark, d, "documents"), items), items)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_labels)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
