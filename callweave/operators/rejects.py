@@ -22,39 +22,26 @@ def _body(raw: Column) -> Column:
     return F.regexp_replace(raw, r"(?:\r\n|\n\r|\n|\r)\z", "")
 
 
-def split_fields(body: Column) -> Column:
-    """struct(ok, fields): the tab-separated fields with quoting undone; ok is false for broken quoting.
+# One field. Possessive repeats make the match linear and free of recursion on texts of any length.
+_FIELD = r'(?:"(?:[^"\r\n\x00]|"")*+"|[^"\t\r\n\x00]*+)'
+QUOTED = rf"\A{_FIELD}(?:\t{_FIELD})*+\z"
+FOUR = rf"\A({_FIELD})\t({_FIELD})\t({_FIELD})\t({_FIELD})\z"
 
-    Splitting at every quote leaves text outside quotes at even places and text inside at odd ones.
-    An empty even place between two inner ones is a doubled quote; any other even place has to begin
-    after a tab and end before one, unless the line begins or ends there. Tabs inside quotes travel
-    as NUL, which no valid line holds.
+
+def split_fields(body: Column) -> tuple[Column, Column]:
+    """Whether the quoting of a line holds, and its fields with quoting undone if there are four.
+
+    Of a line with quotes and another number of fields the second is an array of another length.
     """
-    parts = F.split(body, '"', -1)
-    size = F.size(parts)
-    last = size - 1
-
-    def outside_ok(text: Column, i: Column) -> Column:
-        opens = (i == 0) | text.startswith("\t")
-        closes = (i == last) | text.endswith("\t")
-        whole = F.when((i == 0) | (i == last), (text == "") | (opens & closes)).otherwise(opens & closes)
-        return (i % 2 == 1) | ((text == "") & (i > 0) & (i < last)) | whole
-
-    ok = (size % 2 == 1) & F.forall(F.zip_with(parts, F.sequence(F.lit(0), last), outside_ok), lambda x: x)
-    joined = F.array_join(
-        F.transform(
-            parts,
-            lambda text, i: F.when(i % 2 == 1, F.replace(text, F.lit("\t"), F.lit("\x00")))
-            .when((text == "") & (i > 0) & (i < last), F.lit('"'))
-            .otherwise(text),
-        ),
-        "",
-    )
-    fields = F.transform(F.split(joined, "\t", -1), lambda x: F.replace(x, F.lit("\x00"), F.lit("\t")))
-    plain = F.split(body, "\t", -1)
-    return F.when(~F.contains(body, F.lit('"')), F.struct(F.lit(True).alias("ok"), plain.alias("fields"))).otherwise(
-        F.struct(ok.alias("ok"), fields.alias("fields"))
-    )
+    quotes = F.contains(body, F.lit('"'))
+    ok = ~quotes | body.rlike(QUOTED)
+
+    def field(n: int) -> Column:
+        f = F.regexp_extract(body, FOUR, n)
+        return F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+
+    four = F.when(body.rlike(FOUR), F.array(*[field(n) for n in (1, 2, 3, 4)])).otherwise(F.array().cast("array<string>"))
+    return ok, F.when(quotes, four).otherwise(F.split(body, "\t", -1))
 
 
 def bad_line_number(value: Column) -> Column:
@@ -88,16 +75,16 @@ def parse_with_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
     """
     body = _body(F.col("_raw"))
     base = rows.select(F.col(key).alias("_key"), F.col(raw).alias("_raw")).withColumn("_body", body)
-    split = base.withColumn("_s", split_fields(F.col("_body")))
+    ok, split = split_fields(F.col("_body"))
     structural = (
         F.when(F.col("_raw").isNull(), STRUCTURAL[0])
         .when(F.contains(F.col("_body"), F.lit("\x00")), STRUCTURAL[1])
         .when(F.col("_body").rlike(r"[\r\n]"), STRUCTURAL[2])
-        .when(~F.col("_s.ok"), STRUCTURAL[3])
-        .when(F.size("_s.fields") != 4, STRUCTURAL[4])
+        .when(~ok, STRUCTURAL[3])
+        .when(F.size("_s") != 4, STRUCTURAL[4])
     )
-    fields = F.when(F.col("_why").isNull(), F.col("_s.fields"))
-    parsed = split.withColumn("_why", structural).select(
+    fields = F.when(F.col("_why").isNull(), F.col("_s"))
+    parsed = base.withColumn("_s", split).withColumn("_why", structural).select(
         "_key",
         "_why",
         fields[0].alias("_file"),
