@@ -115,7 +115,7 @@ def brute_paths(pairs):
     return best
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from([*"abcdefg", None]), st.sampled_from([*"abcdefg", None])), max_size=12))
 def test_closure_and_paths_against_brute_force(spark, pairs):
     df = spark.createDataFrame([(a, b, "x", 1) for a, b in pairs], "p string, c string, src string, dist int")

@@ -68,7 +68,7 @@ LINES = st.one_of(
 )
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(LINES, min_size=60, max_size=120))
 def test_rejects_against_brute_force(spark, lines):
     lines = [*lines, None, "", "x.c\t\t1\t", 'x.c\t""\t"5"\t"a\tb"\r\n', " \t\t1\t", "x.c\tf\t1\t" + "y" * 100_000, "x.c\tf\t1\t\"" + 'a""' * 20_000 + '"']
