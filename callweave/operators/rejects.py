@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.runtime import cut
+
 # The file name endings of a source file, in any letter case.
 SOURCE_ENDINGS = (".c", ".h", ".cpp", ".hpp", ".cc", ".hh")
 
@@ -36,11 +38,11 @@ def split_fields(body: Column) -> tuple[Column, Column]:
     quotes = F.contains(body, F.lit('"'))
     ok = ~quotes | body.rlike(QUOTED)
 
-    def field(n: int) -> Column:
-        f = F.regexp_extract(body, FOUR, n)
+    def unquoted(f: Column) -> Column:
         return F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
 
-    four = F.when(body.rlike(FOUR), F.array(*[field(n) for n in (1, 2, 3, 4)])).otherwise(F.array().cast("array<string>"))
+    each = F.transform(F.array(*[F.regexp_extract(body, FOUR, n) for n in (1, 2, 3, 4)]), unquoted)
+    four = F.when(body.rlike(FOUR), each).otherwise(F.array().cast("array<string>"))
     return ok, F.when(quotes, four).otherwise(F.split(body, "\t", -1))
 
 
@@ -66,6 +68,12 @@ def bad_file(value: Column) -> Column:
     )
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with further columns that are computed once for each row, however often they are
+    used: a generator of one row keeps the optimizer from copying their expressions."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_with_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
     """(key, reason, file, symbol, line, context): one row for each input row, repeated rows included.
 
@@ -73,18 +81,18 @@ def parse_with_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
     fields. Null raw is rejected. Of several faults, structural ones come first, then the file, then
     the line number. Other columns of the input are left out; an empty input gives no rows.
     """
-    body = _body(F.col("_raw"))
-    base = rows.select(F.col(key).alias("_key"), F.col(raw).alias("_raw")).withColumn("_body", body)
-    ok, split = split_fields(F.col("_body"))
+    base = _once(rows.select(F.col(key).alias("_key"), F.col(raw).alias("_raw")), _body=_body(F.col("_raw"))).drop("_raw")
+    ok, fields = split_fields(F.col("_body"))
+    split = _once(base, _ok=ok, _s=fields)
     structural = (
-        F.when(F.col("_raw").isNull(), STRUCTURAL[0])
+        F.when(F.col("_body").isNull(), STRUCTURAL[0])
         .when(F.contains(F.col("_body"), F.lit("\x00")), STRUCTURAL[1])
         .when(F.col("_body").rlike(r"[\r\n]"), STRUCTURAL[2])
-        .when(~ok, STRUCTURAL[3])
+        .when(~F.col("_ok"), STRUCTURAL[3])
         .when(F.size("_s") != 4, STRUCTURAL[4])
     )
     fields = F.when(F.col("_why").isNull(), F.col("_s"))
-    parsed = base.withColumn("_s", split).withColumn("_why", structural).select(
+    parsed = _once(split, _why=structural).select(
         "_key",
         "_why",
         fields[0].alias("_file"),
@@ -99,7 +107,7 @@ def parse_with_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
         .agg(F.lit(1).alias("_one"))
     )
     reason = F.when(F.col("col") == "file", bad_file(F.col("value"))).otherwise(bad_line_number(F.col("value")))
-    wrong = values.select("col", "value", reason.alias("reason")).where(F.col("reason").isNotNull())
+    wrong = cut(values.select("col", "value", reason.alias("reason")).where(F.col("reason").isNotNull()))
     files = wrong.where(F.col("col") == "file").select(F.col("value").alias("_file"), F.col("reason").alias("_bad_file"))
     lines = wrong.where(F.col("col") == "line").select(F.col("value").alias("_line"), F.col("reason").alias("_bad_line"))
     joined = parsed.join(files, "_file", "left").join(lines, "_line", "left")
