@@ -45,7 +45,6 @@ _TOKENS = regex.compile(r"[^ \n\t\r]+")
 #: Signs inside words, a capital after a small letter, or letters with accents only: what reading
 #: one single-byte set as another leaves. Texts with such words are kept out of the model.
 _ODD = regex.compile(r"\p{L}[\p{S}\p{No}¿¡]\p{L}|[\p{Ll}&&\P{ASCII}]\p{Lu}|\p{Ll}[\p{Lu}&&\P{ASCII}]|[À-ÖØ-öø-ÿ]{4}", regex.V1)
-_FOREIGN_LETTER = regex.compile(r"[\p{L}&&\P{ASCII}]", regex.V1)
 _CAPITALS = regex.compile(r"(?<!\p{L})[А-ЯЁ]{2,}(?!\p{L})")
 
 
@@ -204,8 +203,8 @@ class Judge:
                 fixed = apply_chain(token, chain)
                 if fixed is None or LOST in fixed:
                     continue
-                if chain[1] != "utf-8" and (_C1.search(fixed) or not _FOREIGN_LETTER.search(fixed)):
-                    continue  # single-byte chains are about letters
+                if chain[1] != "utf-8" and _C1.search(fixed):
+                    continue
                 if fixed not in seen:
                     seen[fixed] = self.model.score(fixed) - base
                 if seen[fixed] > 0:

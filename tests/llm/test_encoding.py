@@ -65,3 +65,14 @@ def test_round_trip(wrong):
 def test_clean_signs():
     assert all(E.structurally_clean(t) for t in CLEAN.values()) and all(E.structurally_clean(t) for t in ("", "plain"))
     assert not any(E.structurally_clean(t) for t in ("cafÃ© fÃ¼r", "lost �", "íîâîå", "po³owê", "x\x80"))
+
+
+def test_signs_only(spark):
+    """Texts whose only garbled characters are quotes, dashes and the like."""
+    signs = "The keeper’s “quite enough”, they said… the keeper’s winter — “quite"
+    wrong = {w: spoil(signs, w, "cp1252") for w in ("cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman")}
+    wrong = {w: t for w, t in wrong.items() if t != signs}
+    assert len(wrong) == 5
+    rows = list(enumerate(corpus())) + [(1000 + i, t) for i, t in enumerate(wrong.values())]
+    got = {r["doc_id"]: r["restored"] for r in E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1000 + i: signs for i in range(len(wrong))}
