@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from callweave.llm.text import spread
 
-# Character sets that text is wrongly read with, and those it was written in.
+# Character sets that text is wrongly read with; it was written in another of them or in UTF-8.
 WRONG = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman")
-RIGHT = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866")
 
 UTF8_MARGIN = 5.0
 LEGACY_FLOOR = 12.0
@@ -86,7 +85,7 @@ def undo_legacy(token: str, wrong: str, right: str) -> str | None:
 
 
 def chains() -> list[tuple[str, str]]:
-    return [(w, "utf-8") for w in WRONG] + [(w, r) for r in RIGHT for w in WRONG if w != r]
+    return [(w, "utf-8") for w in WRONG] + [(w, r) for r in WRONG for w in WRONG if w != r]
 
 
 def apply_chain(token: str, chain: tuple[str, str]) -> str | None:

@@ -76,3 +76,13 @@ def test_signs_only(spark):
     rows = list(enumerate(corpus())) + [(1000 + i, t) for i, t in enumerate(wrong.values())]
     got = {r["doc_id"]: r["restored"] for r in E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1000 + i: signs for i in range(len(wrong))}
+
+
+def test_every_pair_of_sets(spark):
+    """Texts written in Mac Roman or a DOS set and read with another one."""
+    singles = [c for c in E.chains() if c[1] != "utf-8"]
+    assert len(singles) == len(set(singles)) == len(E.WRONG) * (len(E.WRONG) - 1)
+    spoiled = [(spoil(CLEAN[lang], "cp1251", right), CLEAN[lang]) for right in ("mac-roman", "cp437", "cp850") for lang in ("es", "de")]
+    rows = list(enumerate(corpus())) + [(1000 + i, s) for i, (s, _) in enumerate(spoiled)]
+    got = {r["doc_id"]: r["restored"] for r in E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1000 + i: t for i, (_, t) in enumerate(spoiled)}
