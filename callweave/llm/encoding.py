@@ -5,11 +5,13 @@ token with characters beyond ASCII, each chain (encode with the set that was wro
 with the right one) gives a candidate; the gain in log likelihood, summed over the tokens of a text,
 decides between the chains, and the likeliest is taken if its gain passes a margin. Chains that end
 in UTF-8 prove themselves by their byte structure and need little more; single-byte chains always
-decode, so their margin is set from what clean records reach.
+decode, so their margin is set from what all clean records reach; one word that clean records know
+well, in the place of one they don't, proves them too.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import math
 from collections.abc import Iterator
@@ -26,13 +28,13 @@ from callweave.llm.text import spread
 WRONG = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman")
 
 UTF8_MARGIN = 5.0
-LEGACY_FLOOR = 12.0
-#: A token counts for a single-byte chain from this gain on.
-LEGACY_TOKEN = 2.0
+#: A single-byte chain is proven by one word of so many characters that so many clean texts know, if
+#: they know it so many times as often as the word in its place.
+PROOF_CHARS, PROOF_TEXTS, PROOF_TIMES = 3, 3, 20
 #: No character costs more than this, so that rare but intended ones don't outweigh all else.
 WORST = -9.0
-#: Clean records that the single-byte margin is validated on, at most.
-VALIDATION_ROWS = 4_000
+#: Width of the bins that chance gains of clean texts are counted in.
+BIN = 0.125
 
 #: The model keeps so many n-grams, the most frequent ones; all records are counted.
 MAX_GRAMS = 1_000_000
@@ -186,67 +188,112 @@ def train(texts: DataFrame, max_grams: int = MAX_GRAMS) -> CharModel:
     return CharModel(counts)
 
 
+_LETTERS = regex.compile("[a-z]+")
+_SIGNS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+
+
+def _core(token: str) -> str:
+    """The token folded as for the model, without ASCII signs around."""
+    return token.translate(_FOLD).strip(_SIGNS)
+
+
+def _shape(core: str) -> str:
+    """The word with each run of ASCII letters as one; marked, so that it equals no word."""
+    return "\n" + _LETTERS.sub("a", core)
+
+
+def known_words(texts: DataFrame) -> dict[str, int]:
+    """Words beyond ASCII, and shapes of such words, that two or more of the clean texts hold, with the
+    number of these texts."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hits = collections.Counter()
+            for t in b["text"]:
+                if structurally_clean(t):
+                    cores = {c for k in _TOKENS.findall(t) if not k.isascii() and len(c := _core(k)) <= 200}
+                    hits.update(cores | {_shape(c) for c in cores})
+            yield pd.DataFrame({"word": list(hits), "hits": list(hits.values())}).astype({"word": str, "hits": "int64"})
+
+    every = texts.mapInPandas(words, "word string, hits bigint").groupBy("word").agg(F.sum("hits").alias("hits"))
+    return dict(every.where("hits > 1").toPandas().itertuples(index=False, name=None))
+
+
 class Judge:
-    """Finds the likeliest chain for texts under a model."""
+    """Finds the likeliest chain for texts under a model and the words of clean texts."""
 
-    def __init__(self, model: CharModel, margin: float = LEGACY_FLOOR):
-        self.model, self.margin = model, margin
-        self.gains: dict[str, list[tuple[tuple[str, str], str, float]]] = {}
+    def __init__(self, model: CharModel, words: dict[str, int], margin: float = math.inf):
+        self.model, self.words, self.margin = model, words, margin
+        self.gains: dict[str, list[tuple[tuple[str, str], str, float, bool]]] = {}
 
-    def token(self, token: str) -> list[tuple[tuple[str, str], str, float]]:
-        """(chain, fixed, gain) of all chains that change the token, gains above 0 only."""
+    def token(self, token: str) -> list[tuple[tuple[str, str], str, float, bool]]:
+        """(chain, fixed, gain, proven) of all chains that change the token, if the gain is above 0
+        or the chain proven. No single-byte chain makes a word into a rarer one, or into an unknown one
+        of a rarer shape."""
         got = self.gains.get(token)
         if got is None:
             base, got, seen = self.model.score(token), [], {}
+            own, shaped = (self.words.get(x, 0) for x in (_core(token), _shape(_core(token))))
             for chain in chains():
                 fixed = apply_chain(token, chain)
                 if fixed is None or LOST in fixed:
                     continue
                 if chain[1] != "utf-8" and _C1.search(fixed):
                     continue
+                proven = False
+                if chain[1] != "utf-8":
+                    core = _core(fixed)
+                    hits = self.words.get(core, 0)
+                    if hits < own or (not hits and self.words.get(_shape(core), 0) < shaped):
+                        continue
+                    proven = len(core) >= PROOF_CHARS and hits >= max(PROOF_TEXTS, PROOF_TIMES * own)
                 if fixed not in seen:
                     seen[fixed] = self.model.score(fixed) - base
-                if seen[fixed] > 0:
-                    got.append((chain, fixed, seen[fixed]))
+                if seen[fixed] > 0 or proven:
+                    got.append((chain, fixed, seen[fixed], proven))
             if len(self.gains) > 200_000:
                 self.gains.clear()
             if len(token) <= 200:
                 self.gains[token] = got
         return got
 
-    def best(self, text: str) -> tuple[tuple[str, str] | None, float, float]:
-        """(chain, gain, gain of the best single-byte chain): the chain is null below its margin."""
+    def best(self, text: str) -> tuple[tuple[str, str] | None, float, bool, float]:
+        """(chain, gain, proven, gain of the best single-byte chain): the chain is null if neither
+        proven nor above its margin."""
         sums: dict[tuple[str, str], float] = {}
+        proofs: dict[tuple[str, str], int] = {}
         for t in _TOKENS.findall(text):
             if not t.isascii():
-                for chain, _, gain in self.token(t):
-                    if gain < LEGACY_TOKEN and chain[1] != "utf-8":
-                        continue
+                for chain, _, gain, proven in self.token(t):
                     sums[chain] = sums.get(chain, 0.0) + gain
-        legacy = max((g for c, g in sums.items() if c[1] != "utf-8"), default=0.0)
+                    proofs[chain] = proofs.get(chain, 0) + proven
         utf8 = max(((g, c) for c, g in sums.items() if c[1] == "utf-8"), default=(0.0, None))
-        single = max(((g, c) for c, g in sums.items() if c[1] != "utf-8"), default=(0.0, None))
-        passed = [x for x, m in ((utf8, UTF8_MARGIN), (single, self.margin)) if x[1] and x[0] > m]
-        gain, chain = max(passed, default=(0.0, None))
-        return chain, gain, legacy
-
-    def _fix(self, text: str, chain: tuple[str, str]) -> str:
+        proof, legacy, single = max(((proofs[c], g, c) for c, g in sums.items() if c[1] != "utf-8"), default=(0, 0.0, None))
+        passed = [(utf8[0], utf8[1], False)] if utf8[1] and utf8[0] > UTF8_MARGIN else []
+        if single and (proof or legacy > self.margin):
+            passed.append((legacy, single, proof > 0))
+        gain, chain, proven = max(passed, default=(0.0, None, False))
+        return chain, gain, proven, legacy
+
+    def _fix(self, text: str, chain: tuple[str, str], gain: float) -> str:
         """All tokens the chain improves; of a single-byte chain also those it can decode, if most
-        of the text's tokens beyond ASCII gain by it."""
+        of the text's tokens beyond ASCII gain by it. Below the margin the proven tokens only."""
         tokens = [t for t in _TOKENS.findall(text) if not t.isascii()]
-        better = {t: f for t in tokens for c, f, _ in self.token(t) if c == chain}
+        whole = chain[1] == "utf-8" or gain > self.margin
+        better = {t: f for t in tokens for c, f, _, proven in self.token(t) if c == chain and (whole or proven)}
         if chain[1] != "utf-8" and sum(t in better for t in tokens) * 2 > len(tokens):
             better = {t: apply_chain(t, chain) or t for t in tokens} | better
         return _TOKENS.sub(lambda m: better.get(m.group(), m.group()), text)
 
     def restore(self, text: str, rounds: int = 4) -> tuple[str, str, float]:
-        """(text, chains taken, gain). Text read wrongly several times takes several rounds."""
+        """(text, chains taken, gain). Text read wrongly several times takes several rounds. After a chain
+        to UTF-8 a single-byte one must be proven."""
         taken, total = [], 0.0
         for _ in range(rounds):
-            chain, gain, _ = self.best(text)
-            if chain is None:
+            chain, gain, proven, _ = self.best(text)
+            if chain is None or (chain[1] != "utf-8" and not proven and any(c.endswith(">utf-8") for c in taken)):
                 break
-            fixed = self._fix(text, chain)
+            fixed = self._fix(text, chain, gain)
             if fixed == text:
                 break
             text, total = fixed, total + gain
@@ -254,12 +301,34 @@ class Judge:
         return text, " ".join(taken), total
 
 
-def validated_margin(model: CharModel, sample: list[str]) -> float:
-    """The single-byte margin: a quarter above what 99.5 percent of clean records reach by chance,
-    but no less than the floor."""
-    judge = Judge(model)
-    chance = [judge.best(t)[2] for t in sample if structurally_clean(t)]
-    return max(LEGACY_FLOOR, 1.25 * float(np.quantile(chance, 0.995))) if chance else LEGACY_FLOOR
+def chance_gains(texts: DataFrame, shared) -> DataFrame:
+    """(bin, hits): how many of the clean texts beyond ASCII gain how much by their best single-byte
+    chain. Texts in which such a chain is proven aren't clean."""
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, words = shared.value
+        judge = Judge(CharModel(counts), words)
+        for b in batches:
+            bins = collections.Counter()
+            for t in b["text"]:
+                if not t.isascii() and structurally_clean(t):
+                    _, _, proven, gain = judge.best(t)
+                    if not proven:
+                        bins[math.ceil(gain / BIN)] += 1
+            yield pd.DataFrame({"bin": list(bins), "hits": list(bins.values())}, dtype="int64")
+
+    return texts.mapInPandas(gains, "bin bigint, hits bigint").groupBy("bin").agg(F.sum("hits").alias("hits"))
+
+
+def validated_margin(bins: list[tuple[int, int]]) -> float:
+    """The single-byte margin: a quarter above what all but one of 2,000 clean records reach by chance.
+    Without clean records nothing passes."""
+    total, seen = sum(n for _, n in bins), 0
+    for b, n in sorted(bins):
+        seen += n
+        if seen >= 0.9995 * total:
+            return 1.25 * BIN * b
+    return math.inf
 
 
 def find_garbled(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,14 +341,13 @@ def find_garbled(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     texts = spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0))
     model = train(texts.select("text"))
-    # a fixed number of rows, in the order of a hash: the same at every partitioning
-    some = texts.where(~F.col("text").rlike(r"^[\x00-\x7f]*$")).select("text").orderBy(F.xxhash64("text"), "text").limit(VALIDATION_ROWS)
-    margin = validated_margin(model, [r[0] for r in some.collect()])
-    shared = rows.sparkSession.sparkContext.broadcast((model.counts, margin))
+    distinct = texts.where(~F.col("text").rlike(r"^[\x00-\x7f]*$")).select("text").distinct()
+    trained = rows.sparkSession.sparkContext.broadcast((model.counts, known_words(distinct)))
+    margin = validated_margin([(r["bin"], r["hits"]) for r in chance_gains(distinct, trained).collect()])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, m = shared.value
-        judge = Judge(CharModel(counts), m)
+        counts, words = trained.value
+        judge = Judge(CharModel(counts), words, margin)
         for b in batches:
             out = []
             for k, t in zip(b["key"].tolist(), b["text"].tolist(), strict=True):

@@ -86,3 +86,37 @@ def test_every_pair_of_sets(spark):
     rows = list(enumerate(corpus())) + [(1000 + i, s) for i, (s, _) in enumerate(spoiled)]
     got = {r["doc_id"]: r["restored"] for r in E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1000 + i: t for i, (_, t) in enumerate(spoiled)}
+
+
+def test_one_word_of_each_chain(spark):
+    """A single garbled word in a sentence, for each single-byte chain that leaves a word without controls."""
+    words = sorted({w for t in CLEAN.values() for w in t.split() if not w.isascii() and len(w) > 3 and w.isalpha()})
+    spoiled = []
+    for wrong, right in (c for c in E.chains() if c[1] != "utf-8"):
+        for w in words:
+            try:
+                bad = spoil(w, wrong, right)
+            except UnicodeError:
+                continue
+            if bad != w and not E._C1.search(bad) and " " not in bad and "\xa0" not in bad:
+                spoiled.append((f"they said {bad} during winter", f"they said {w} during winter"))
+                break
+    assert len(spoiled) > 70
+    rows = list(enumerate(corpus(1500))) + [(5000 + i, s) for i, (s, _) in enumerate(spoiled)]
+    got = {r["doc_id"]: r["restored"] for r in E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {5000 + i: t for i, (_, t) in enumerate(spoiled)}
+
+
+def test_margin_of_all_distinct_texts(spark):
+    """Copies count once, and the margin follows the bins: no floor, no fixed number of rows."""
+    assert E.validated_margin([]) == float("inf")
+    assert E.validated_margin([(0, 9995), (80, 5)]) == 0
+    assert E.validated_margin([(0, 9000), (80, 1000)]) == 1.25 * 80 * E.BIN
+    texts = corpus(300)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    shared = spark.sparkContext.broadcast((E.train(df).counts, E.known_words(df)))
+    bins = E.chance_gains(df, shared).collect()
+    assert sum(r["hits"] for r in bins) == sum(not t.isascii() for t in texts)
+    rows = list(enumerate(texts)) + [(9000, "said ca³kiem później świeżą farbę")] + [(10_000 + i, texts[0]) for i in range(6000)]
+    got = E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r["doc_id"] == 9000 for r in got)
