@@ -39,10 +39,11 @@ def cone_sizes(rows: DataFrame) -> DataFrame:
     return transitive_calls(rows).groupBy(F.col("caller").alias("symbol")).agg(F.count(F.lit(1)).alias("n_symbols"))
 
 
-def path_counts(rows: DataFrame, max_depth: int = 1000) -> DataFrame:
+def path_counts(rows: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(caller, callee, n_paths): how many paths join a pair, repeated call rows counting each.
 
-    Raises on cycles. Counts are 64-bit; an overflow is an error.
+    Raises on cycles, and on paths of more than max_depth edges if that is given. Counts are 64-bit;
+    an overflow is an error.
     """
     edges = cut(
         rows.where("caller is not null and callee is not null")
@@ -51,8 +52,8 @@ def path_counts(rows: DataFrame, max_depth: int = 1000) -> DataFrame:
     )
     if not H.on_cycles(edges.select("src", "dst")).isEmpty():
         raise ValueError("path counts are infinite on cycles")
-    front, known = edges, edges
-    for _ in range(max_depth):
+    front, known, depth = edges, edges, 1
+    while True:
         step = edges.select(F.col("src").alias("_m"), F.col("dst").alias("_d"), F.col("n").alias("_k"))
         front = cut(
             front.join(step, F.col("dst") == F.col("_m"))
@@ -61,6 +62,9 @@ def path_counts(rows: DataFrame, max_depth: int = 1000) -> DataFrame:
         )
         if front.isEmpty():
             break
+        depth += 1
+        if max_depth is not None and depth > max_depth:
+            raise ValueError("paths of more than max_depth edges")
         known = known.unionByName(front)
     return known.groupBy(F.col("src").alias("caller"), F.col("dst").alias("callee")).agg(F.sum("n").alias("n_paths"))
 

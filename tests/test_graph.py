@@ -135,3 +135,10 @@ def test_long_chain_takes_few_rounds(spark):
     got = H.root_paths(e).orderBy("depth").collect()
     assert [r["depth"] for r in got] == list(range(101)) and got[-1]["path"][50] == "050"
     assert H.reach(e).count() == 100 * 101 // 2
+
+
+def test_path_counts_are_whole_or_an_error(spark):
+    calls = call_rows(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")])
+    with pytest.raises(ValueError):
+        G.path_counts(calls, max_depth=2)
+    assert G.path_counts(calls, max_depth=4).count() == G.path_counts(calls).count() == 10
