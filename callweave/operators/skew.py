@@ -42,6 +42,36 @@ def heavy_hitters(rows: DataFrame, key: str, share: float = 0.03) -> DataFrame:
     )
 
 
+def salted_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", share: float = 1 / 64) -> DataFrame:
+    """rows joined with other on a column that both have, for a key that may hold most of the rows.
+
+    A sketch over rows names at most 2/share keys with about share of the rows or more; only these few
+    are broadcast, with the number of parts that each is split into. Their rows in other are repeated
+    once for each part. other should have few rows a key. how is inner, left or left_semi. Null keys
+    match nothing; with left they are kept, and spread.
+    """
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError("how is inner, left or left_semi")
+    k = math.ceil(2 / share)
+    sketch = rows.select(F.col(key).alias("_k")).agg(
+        F.count(F.lit(1)).alias("_all"), F.expr(f"approx_top_k(_k, {k}, {100 * k})").alias("_top")
+    )
+    hot = (
+        sketch.select("_all", F.inline("_top"))
+        .where(F.col("count") >= F.lit(share) * F.col("_all"))
+        .select(F.col("item").alias("_hot"), F.ceil(F.col("count") / (F.lit(share) * F.col("_all"))).cast("int").alias("_parts"))
+    )
+    hot = F.broadcast(hot)
+    spread = F.xxhash64(*rows.columns)
+    mine = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(F.col(key).isNull(), spread).otherwise(F.pmod(spread, F.coalesce("_parts", F.lit(1))))
+    )
+    theirs = other.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1))
+    )
+    return mine.drop("_hot", "_parts").join(theirs.drop("_hot", "_parts"), [key, "_salt"], how).drop("_salt")
+
+
 def per_key(
     rows: DataFrame,
     key: str,

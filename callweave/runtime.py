@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """Like cut, with aggregates of the rows that are taken while they are written."""
+    seen = Observation()
+    kept = cut(df.observe(seen, *[c.alias(n) for n, c in measures.items()]))
+    return kept, seen.get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
