@@ -2,8 +2,8 @@
 
 A reference (a name, a time) is whole if some definition of the name was loaded by that time and not
 retracted by it. The latest retraction among the definitions loaded so far, a running maximum, tells
-this. It is taken in two steps, over time buckets of a name and within one bucket, so that a name
-with very many rows is spread over many tasks.
+this. It runs over distinct names and times in sorted ranges, so that neither a name with very many
+rows nor a bulk load at one time ends up in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from callweave.runtime import cut
+from callweave.operators.skew import salted_join
+from callweave.runtime import cut, cut_counting
 
 FAR = "9999-12-31 00:00:00"
 
@@ -29,6 +30,59 @@ def call_references(calls: DataFrame, external: DataFrame) -> DataFrame:
     )
 
 
+def orphan_points(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """(name, at, n, reason): the names and times at which no definition holds, with the number of references.
+
+    Names and times are first reduced to one row each, with the latest retraction among the definitions
+    loaded just then. These rows are sorted over ranges of (name, at), so that a name with very many
+    times lies in several ranges; the maximum runs within a range, and the maxima of the ranges, of
+    which a name has few, run over the ranges.
+    """
+    end = F.coalesce(F.col("retracted_at").cast("timestamp_ntz"), F.lit(FAR).cast("timestamp_ntz"))
+    loaded = defs.where(F.col("symbol").isNotNull()).select(
+        F.col("symbol").alias("name"), F.col("imported_at").cast("timestamp_ntz").alias("at"), F.lit(0).cast("bigint").alias("n"), end.alias("until")
+    )
+    asked = refs.select("name", "at", F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("timestamp_ntz").alias("until"))
+    points = (
+        loaded.where(F.col("at").isNotNull()).unionByName(asked).groupBy("name", "at").agg(F.sum("n").alias("n"), F.max("until").alias("until"))
+    )
+    ranged = cut(points.repartitionByRange("name", "at").withColumn("_range", F.spark_partition_id()))
+    to_here = W.partitionBy("name").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        ranged.groupBy("name", "_range").agg(F.max("until").alias("until")).select("name", "_range", F.max("until").over(to_here).alias("_carried"))
+    )
+    inside = W.partitionBy("name", "_range").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    state = (
+        ranged.withColumn("_until", F.max("until").over(inside))
+        .join(carried, ["name", "_range"])
+        .select("name", "at", "n", F.greatest("_until", "_carried").alias("until"))
+        .where((F.col("n") > 0) & ~F.coalesce(F.col("until") > F.col("at"), F.lit(False)))
+    )
+    known = loaded.select(F.col("name").alias("_d")).distinct()
+    reason = F.when(F.col("until").isNotNull(), "retracted").when(F.col("_d").isNotNull(), "late").otherwise("missing")
+    return salted_join(state, known.select(F.col("_d").alias("name"), "_d"), "name", "left").select("name", "at", "n", reason.alias("reason"))
+
+
+def _at_points(refs: DataFrame, points: DataFrame, total: int) -> DataFrame:
+    """The references at the points (name, at, n, reason). Points with a 64th of all references or more,
+    at most 64, are split into parts."""
+    parts = F.ceil(F.col("n") * 64 / F.lit(max(total, 1))).cast("int")
+    hot = F.broadcast(points.where(F.col("n") * 64 >= total).select(F.col("name").alias("_hn"), F.col("at").alias("_ha"), parts.alias("_parts")))
+    salted = refs.join(hot, (F.col("name") == F.col("_hn")) & F.col("at").eqNullSafe(F.col("_ha")), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("ord", "side"), F.coalesce("_parts", F.lit(1))).cast("int")
+    )
+    each = F.when(F.col("n") * 64 >= total, parts).otherwise(1)
+    spread = points.select(F.col("name").alias("_n"), F.col("at").alias("_a"), "reason", F.explode(F.sequence(F.lit(0), each - 1)).alias("_s"))
+    met = (F.col("name") == F.col("_n")) & F.col("at").eqNullSafe(F.col("_a")) & (F.col("_salt") == F.col("_s"))
+    return salted.join(spread, met).select("ord", "side", "name", "at", "reason")
+
+
+def _direct(refs: DataFrame, defs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points, references) without a definition."""
+    points, got = cut_counting(orphan_points(refs, defs), n=F.sum("n"))
+    return points, _at_points(refs, points, got["n"] or 0)
+
+
 def direct_orphans(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """(ord, side, name, at, reason) of the references without a definition at their time.
 
@@ -36,41 +90,7 @@ def direct_orphans(refs: DataFrame, defs: DataFrame) -> DataFrame:
     afterwards, missing if there is none at all. A reference without a time is never whole; a
     definition without a load time makes no reference whole and counts as late.
     """
-    events = refs.select("ord", "side", "name", "at", F.lit(None).cast("timestamp_ntz").alias("until"), F.lit(0).alias("is_def")).unionByName(
-        defs.where(F.col("symbol").isNotNull()).select(
-            F.lit(None).cast("bigint").alias("ord"),
-            F.lit(None).cast("string").alias("side"),
-            F.col("symbol").alias("name"),
-            F.col("imported_at").cast("timestamp_ntz").alias("at"),
-            F.when(F.col("imported_at").isNotNull(), F.coalesce(F.col("retracted_at").cast("timestamp_ntz"), F.lit(FAR).cast("timestamp_ntz"))).alias("until"),
-            F.lit(1).alias("is_def"),
-        )
-    ).withColumn("bucket", F.col("at").cast("date"))
-    per_bucket = events.groupBy("name", "bucket").agg(F.max("until").alias("until"), F.max("is_def").alias("is_def"))
-    by_name = W.partitionBy("name")
-    before = by_name.orderBy(F.col("bucket").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    carried = per_bucket.select(
-        F.lit(None).cast("bigint").alias("ord"),
-        F.lit(None).cast("string").alias("side"),
-        "name",
-        F.col("bucket").cast("timestamp_ntz").alias("at"),
-        F.max("until").over(before).alias("until"),
-        F.max("is_def").over(by_name).alias("is_def"),
-        "bucket",
-    )
-    here = W.partitionBy("name", "bucket")
-    so_far = here.orderBy(F.col("at").asc_nulls_last()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    seen = (
-        events.unionByName(carried)
-        .withColumn("_until", F.max("until").over(so_far))
-        .withColumn("_any", F.max("is_def").over(here))
-        .where(F.col("ord").isNotNull())
-    )
-    known = F.col("_until").isNotNull() & F.col("at").isNotNull()
-    reason = F.when(known, "retracted").when(F.col("_any") == 1, "late").otherwise("missing")
-    return seen.where(~F.coalesce(known & (F.col("_until") > F.col("at")), F.lit(False))).select(
-        "ord", "side", "name", "at", reason.alias("reason")
-    )
+    return _direct(refs, defs)[1]
 
 
 def below(seeds: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
@@ -97,30 +117,65 @@ def below(seeds: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
     return known
 
 
+def inherited_since(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """(name, since, depth): from when on the rows of a caller inherit, for every depth that moves it back.
+
+    edges are (src, dst, at), points the (name, at) of orphaned callers. Round d looks at the rows that
+    were orphaned at depth d - 1: what they call inherits from their time on. A semi-join finds them
+    among the edges: rows of a name between its new and its former time. A name is looked at again only
+    when its time moves back, so that every row is orphaned once, and cycles end like all else.
+    """
+    seed = edges.join(points, (F.col("src") == F.col("name")) & (F.col("at") == F.col("_at")), "left_semi")
+    count = F.count(F.lit(1))
+    front, got = cut_counting(
+        seed.groupBy(F.col("dst").alias("name")).agg(F.min("at").alias("since")).withColumn("_was", F.lit(FAR).cast("timestamp_ntz")), n=count
+    )
+    best, depth = front.select("name", "since"), 1
+    all_of_them = front.select("name", "since", F.lit(1).alias("depth"))
+    while got["n"]:
+        depth += 1
+        newly = (F.col("src") == F.col("name")) & (F.col("at") >= F.col("since")) & (F.col("at") < F.col("_was"))
+        asked = edges.join(front, newly, "left_semi").groupBy(F.col("dst").alias("name")).agg(F.min("at").alias("_new"))
+        front, got = cut_counting(
+            asked.join(best, "name", "left")
+            .where(F.col("since").isNull() | (F.col("_new") < F.col("since")))
+            .select("name", F.col("_new").alias("since"), F.coalesce("since", F.lit(FAR).cast("timestamp_ntz")).alias("_was")),
+            n=count,
+        )
+        if got["n"]:
+            all_of_them = all_of_them.unionByName(front.select("name", "since", F.lit(depth).alias("depth")))
+            best = cut(best.join(front.select("name"), "name", "left_anti").unionByName(front.select("name", "since")))
+    return all_of_them
+
+
 def orphan_cascade(calls: DataFrame, defs: DataFrame, external: DataFrame) -> DataFrame:
     """(ord, side, name, reason, kind, depth, month) of all orphaned references of calls.
 
     kind direct: the reference itself has no definition at its time (depth 0). kind inherited: the
-    row's caller exists, but is called from an orphaned record, that is from a row whose own caller
-    is an orphan or inherits that; depth counts the calls in between. Rows with both are direct.
+    row's caller exists, but was called, no later than the row's own time, from an orphaned record,
+    that is from a row whose own caller is an orphan or inherits that; depth is the least number of
+    calls in between. Rows with both are direct; rows without a time neither inherit nor pass on.
     month is the month of imported_at as yyyy-MM, null without it.
     """
     refs = call_references(calls, external)
-    direct = cut(direct_orphans(refs, defs))
+    points, direct = _direct(refs, defs)
     names = external.select(F.col("name").alias("_x")).where(F.col("_x").isNotNull()).distinct()
     edges = cut(
-        calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-        .where("src is not null and dst is not null and src <> dst")
-        .distinct()
+        calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.col("imported_at").cast("timestamp_ntz").alias("at"))
+        .where("src is not null and dst is not null and at is not null and src <> dst")
         .join(names, F.col("dst") == F.col("_x"), "left_anti")
+        .join(names, F.col("src") == F.col("_x"), "left_anti")
+        .distinct()
     )
-    seeds = direct.where(F.col("side") == "caller").select("name").distinct()
-    reached = below(seeds, edges).where(F.col("depth") > 0).select(F.col("name").alias("_n"), "depth")
+    steps = inherited_since(edges, points.select("name", F.col("at").alias("_at")))
+    stairs = steps.groupBy("name").agg(F.collect_list(F.struct("depth", "since")).alias("_steps"))  # one for each depth at most
     ours = direct.where(F.col("side") == "caller").select(F.col("ord").alias("_o"))
+    callers = refs.where((F.col("side") == "caller") & F.col("at").isNotNull())
     inherited = (
-        refs.where(F.col("side") == "caller")
+        salted_join(callers, stairs, "name")
+        .withColumn("depth", F.array_min(F.transform(F.filter("_steps", lambda x: x["since"] <= F.col("at")), lambda x: x["depth"])))
+        .where(F.col("depth").isNotNull())
         .join(ours, F.col("ord") == F.col("_o"), "left_anti")
-        .join(reached, F.col("name") == F.col("_n"))
         .select("ord", "side", "name", "at", F.lit("inherited").alias("reason"), F.lit("inherited").alias("kind"), "depth")
     )
     both = direct.withColumn("kind", F.lit("direct")).withColumn("depth", F.lit(0)).unionByName(inherited)
