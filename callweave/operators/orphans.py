@@ -64,8 +64,8 @@ def orphan_points(refs: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def _at_points(refs: DataFrame, points: DataFrame, total: int) -> DataFrame:
-    """The references at the points (name, at, n, reason). Points with a 64th of all references or more,
-    at most 64, are split into parts."""
+    """The references at the points (name, at, n, reason). Points with a 64th or more of the references
+    that total counts, at most 64, are split into parts."""
     parts = F.ceil(F.col("n") * 64 / F.lit(max(total, 1))).cast("int")
     hot = F.broadcast(points.where(F.col("n") * 64 >= total).select(F.col("name").alias("_hn"), F.col("at").alias("_ha"), parts.alias("_parts")))
     salted = refs.join(hot, (F.col("name") == F.col("_hn")) & F.col("at").eqNullSafe(F.col("_ha")), "left").withColumn(

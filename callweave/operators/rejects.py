@@ -1,8 +1,8 @@
 """Lines that can't become typed rows, set apart with the reason.
 
 A line holds file, symbol, line and context, parted by one tab each, with an optional line end.
-Structural checks look at each line; the values of the typed columns are cast once for each distinct
-value, and only values that fail are joined back, as a dictionary with reasons.
+Structural checks look at each line; the values of the typed columns are checked and cast once for
+each distinct value, and the dictionary of typed values and reasons is joined back.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.operators.skew import salted_join
 from callweave.runtime import cut
 
 # The file name endings of a source file, in any letter case.
@@ -74,13 +75,8 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def parse_with_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
-    """(key, reason, file, symbol, line, context): one row for each input row, repeated rows included.
-
-    reason is null for a valid row, which has typed fields; a rejected row has a reason and null
-    fields. Null raw is rejected. Of several faults, structural ones come first, then the file, then
-    the line number. Other columns of the input are left out; an empty input gives no rows.
-    """
+def _split(rows: DataFrame, key: str, raw: str) -> DataFrame:
+    """(_key, _why, _file, _symbol, _line, _context): the structural reason, or four untyped fields."""
     base = _once(rows.select(F.col(key).alias("_key"), F.col(raw).alias("_raw")), _body=_body(F.col("_raw"))).drop("_raw")
     ok, fields = split_fields(F.col("_body"))
     split = _once(base, _ok=ok, _s=fields)
@@ -92,32 +88,46 @@ def parse_with_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
         .when(F.size("_s") != 4, STRUCTURAL[4])
     )
     fields = F.when(F.col("_why").isNull(), F.col("_s"))
-    parsed = _once(split, _why=structural).select(
-        "_key",
-        "_why",
-        fields[0].alias("_file"),
-        fields[1].alias("_symbol"),
-        fields[2].alias("_line"),
-        fields[3].alias("_context"),
-    )
-    values = (
-        parsed.where(F.col("_why").isNull())
-        .select(F.inline(F.array(F.struct(F.lit("file").alias("col"), F.col("_file").alias("value")), F.struct(F.lit("line").alias("col"), F.col("_line").alias("value")))))
-        .groupBy("col", "value")
-        .agg(F.lit(1).alias("_one"))
+    return _once(split, _why=structural).select(
+        "_key", "_why", *[fields[i].alias(n) for i, n in enumerate(("_file", "_symbol", "_line", "_context"))]
     )
+
+
+def value_dictionary(fields: DataFrame) -> DataFrame:
+    """(col, value, number, reason): each distinct file and line value once, with its typed value or
+    the reason why it has none."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"_{c}").alias("value")) for c in ("file", "line")])
+    values = fields.select(F.inline(pairs)).distinct()
     reason = F.when(F.col("col") == "file", bad_file(F.col("value"))).otherwise(bad_line_number(F.col("value")))
-    wrong = cut(values.select("col", "value", reason.alias("reason")).where(F.col("reason").isNotNull()))
-    files = wrong.where(F.col("col") == "file").select(F.col("value").alias("_file"), F.col("reason").alias("_bad_file"))
-    lines = wrong.where(F.col("col") == "line").select(F.col("value").alias("_line"), F.col("reason").alias("_bad_line"))
-    joined = parsed.join(files, "_file", "left").join(lines, "_line", "left")
-    why = F.coalesce("_why", "_bad_file", "_bad_line")
-    good = why.isNull()
-    return joined.select(
-        F.col("_key").alias(key),
-        why.alias("reason"),
-        F.when(good, F.col("_file")).alias("file"),
-        F.when(good, F.col("_symbol")).alias("symbol"),
-        F.when(good, F.col("_line").try_cast("bigint")).alias("line"),
-        F.when(good, F.col("_context")).alias("context"),
-    )
+    return values.select("col", "value", F.when(F.col("col") == "line", F.col("value").try_cast("bigint")).alias("number"), reason.alias("reason"))
+
+
+def parse_with_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, reason, file, symbol, line, context): one row for each input row, repeated rows included.
+
+    reason is null for a valid row, which has typed fields; a rejected row has a reason and null
+    fields. Null raw is rejected. Of several faults, structural ones come first, then the file, then
+    the line number. Other columns of the input are left out; an empty input gives no rows. Lines are
+    parsed once and kept; rows that fail by structure take no part in the joins with the dictionary,
+    and values that most rows have are salted in them.
+    """
+    return _resolved(cut(_split(rows, key, raw)), key)
+
+
+def reject_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, reason) of the rejected rows alone: as parse_with_reasons, without carrying the other fields."""
+    parsed = _split(rows, key, raw).select("_key", "_why", "_file", F.lit(None).cast("string").alias("_symbol"), "_line", F.lit(None).cast("string").alias("_context"))
+    return _resolved(cut(parsed), key).where(F.col("reason").isNotNull()).select(key, "reason")
+
+
+def _resolved(parsed: DataFrame, key: str) -> DataFrame:
+    whole = parsed.where(F.col("_why").isNull()).drop("_why")
+    words = cut(value_dictionary(whole))
+    files = words.where(F.col("col") == "file").select(F.col("value").alias("_file"), F.col("reason").alias("_bad_file"))
+    numbers = words.where(F.col("col") == "line").select(F.col("value").alias("_line"), "number", F.col("reason").alias("_bad_line"))
+    joined = salted_join(salted_join(whole, files, "_file"), numbers, "_line")
+    why = F.coalesce("_bad_file", "_bad_line")
+    typed = {"file": F.col("_file"), "symbol": F.col("_symbol"), "line": F.col("number"), "context": F.col("_context")}
+    valued = joined.select(F.col("_key").alias(key), why.alias("reason"), *[F.when(why.isNull(), c).alias(n) for n, c in typed.items()])
+    empty = [F.lit(None).cast("bigint" if n == "line" else "string").alias(n) for n in typed]
+    return valued.unionByName(parsed.where(F.col("_why").isNotNull()).select(F.col("_key").alias(key), F.col("_why").alias("reason"), *empty))

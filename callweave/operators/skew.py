@@ -23,12 +23,8 @@ def heavy_hitters(rows: DataFrame, key: str, share: float = 0.03) -> DataFrame:
     """
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
-    k = math.ceil(4 / share)
     one = rows.select(F.col(key).alias("_k"))
-    sketch = one.where(F.col("_k").isNotNull()).agg(
-        F.expr(f"approx_top_k(_k, {k}, {max(10_000, 100 * k)})").alias("top")
-    )
-    candidates = sketch.select(F.inline("top")).select(F.col("item").alias("_c"))
+    candidates = _candidates(one, share).select(F.col("item").alias("_c"))
     exact = (
         one.join(F.broadcast(candidates), F.col("_k") == F.col("_c"), "left")
         .groupBy("_c")
@@ -42,6 +38,13 @@ def heavy_hitters(rows: DataFrame, key: str, share: float = 0.03) -> DataFrame:
     )
 
 
+def _candidates(one: DataFrame, share: float) -> DataFrame:
+    """(item, count) of the at most 4/share keys of the column _k that a sketch gives as the most frequent."""
+    k = math.ceil(4 / share)
+    sketch = one.where(F.col("_k").isNotNull()).agg(F.expr(f"approx_top_k(_k, {k}, {max(10_000, 100 * k)})").alias("top"))
+    return sketch.select(F.inline("top"))
+
+
 def salted_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", share: float = 1 / 64) -> DataFrame:
     """rows joined with other on a column that both have, for a key that may hold most of the rows.
 
@@ -88,9 +91,11 @@ def per_key(
     names a column whose non-null values are counted exactly as n_distinct: its values serve as the
     salt of a heavy key, so that equal values of a key meet, and a hot value is no problem because
     each task first reduces its own rows. Without distinct, heavy keys are salted by a hash of
-    the whole row. heavy may hand in the result of heavy_hitters.
+    the whole row, the null key always. heavy may hand in the result of heavy_hitters; else the
+    candidates of the sketch serve, as a key that is salted in vain gives the same result.
     """
-    heavy = cut(heavy_hitters(rows, key, share)) if heavy is None else heavy
+    if heavy is None:
+        heavy = cut(_candidates(rows.select(F.col(key).alias("_k")), share).select(F.col("item").alias("hot_key")))
     hot = F.broadcast(heavy.select(F.col("hot_key").alias("_hot")))
     is_hot = rows.join(hot, F.col(key) == F.col("_hot"), "left")
     salt_of = F.xxhash64(distinct) if distinct else F.xxhash64(*rows.columns)
@@ -105,8 +110,9 @@ def per_key(
         values = part.groupBy(*by, F.col(distinct).alias("_value")).agg(*[c.alias(n) for n, c in partial.items()])
         return values.groupBy(*by).agg(*merged, F.count("_value").alias("n_distinct"))
 
-    hot_rows = is_hot.where(F.col("_hot").isNotNull()).withColumn("_key", F.col(key)).withColumn("_salt", F.pmod(salt_of, F.lit(salts)))
-    cold_rows = is_hot.where(F.col("_hot").isNull()).withColumn("_key", F.col(key))
+    salted = F.col("_hot").isNotNull() | F.col(key).isNull()
+    hot_rows = is_hot.where(salted).withColumn("_key", F.col(key)).withColumn("_salt", F.pmod(salt_of, F.lit(salts)))
+    cold_rows = is_hot.where(~salted).withColumn("_key", F.col(key))
     return (
         finish(within(hot_rows, ["_key", "_salt"]))
         .unionByName(within(cold_rows, ["_key"]))

@@ -137,6 +137,37 @@ def test_long_chain_takes_few_rounds(spark):
     assert H.reach(e).count() == 100 * 101 // 2
 
 
+def components(df):
+    out = {}
+    for n, c in rows(df):
+        assert n not in out
+        out[n] = c
+    return out
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(4, 16).flatmap(lambda n: st.lists(st.tuples(st.integers(0, n), st.integers(0, n)), min_size=n, max_size=2 * n)))
+def test_components_against_brute_force(spark, pairs):
+    pairs = [(f"n{a}", f"n{b}") for a, b in pairs]
+    far = brute(pairs)
+    got = components(H.components(spark.createDataFrame(sorted(set(pairs)), "src string, dst string").coalesce(2)))
+    assert set(got) == {a for a, b in far if a == b}
+    assert all((got[a] == got[b]) == ((a, b) in far and (b, a) in far) for a in got for b in got if a != b)
+
+
+def test_components_of_dense_graphs_and_long_chains(spark):
+    dense = [(x + a, x + b) for x in "pq" for a in "abcd" for b in "abcd"] + [("pa", "qa")]
+    got = components(H.components(spark.createDataFrame(dense, "src string, dst string").coalesce(1)))
+    assert len(got) == 8 and len(set(got.values())) == 2
+    n = 10_000
+    chain = spark.range(n).selectExpr("'n' || id as src", "'n' || (id + 1) as dst")
+    assert H.on_cycles(chain).isEmpty()
+    closed = chain.union(spark.sql(f"select 'n{n}', 'n5000'")).union(spark.sql("select 'n7000', 'n6000'"))
+    got = components(H.components(closed))
+    assert len(got) == n - 5000 + 1 and len(set(got.values())) == 1
+    assert H.root_paths(chain.where("src in ('n1', 'n2', 'n3')")).count() == 4
+
+
 def test_path_counts_are_whole_or_an_error(spark):
     calls = call_rows(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")])
     with pytest.raises(ValueError):

@@ -123,7 +123,7 @@ def test_orphans_against_brute_force(spark):
     d = spark.createDataFrame(defs, "symbol string, imported_at timestamp_ntz, retracted_at timestamp_ntz")
     x = spark.createDataFrame([("ext",), (None,)], "name string")
     got = O.orphan_cascade(c, d, x).collect()
-    want, bad = {}, set()
+    want = {}
     for o, a, b, t in calls:
         for side, n in (("caller", a), ("callee", b)):
             if n is None or n == "ext":
@@ -131,25 +131,52 @@ def test_orphans_against_brute_force(spark):
             own = [r for r in defs if r[0] == n]
             if not (t and any(i and i <= t and (r is None or r > t) for _, i, r in own)):
                 want[o, side] = "retracted" if t and any(i and i <= t for _, i, _ in own) else "late" if own else "missing"
-                if side == "caller":
-                    bad.add(n)
     assert {(r["ord"], r["side"]): r["reason"] for r in got if r["kind"] == "direct"} == want
-    depth = dict.fromkeys(bad, 0)
+    depth = {o: 0 for o, _, _, _ in calls if (o, "caller") in want}
     while True:
-        new = {b: depth[a] + 1 for _, a, b, _ in calls if a in depth and b not in depth and b not in (None, "ext")}
-        for _, a, b, _ in calls:
-            if a in depth and b in new:
-                new[b] = min(new[b], depth[a] + 1)
+        new = {}
+        for o, a, _, t in calls:
+            if o not in depth and a not in (None, "ext") and t:
+                up = [depth[p] for p, pa, pb, pt in calls if p in depth and pb == a and pa != pb and pt and pt <= t]
+                if up:
+                    new[o] = min(up) + 1
         if not new:
             break
         depth |= new
-    inherited = {o: depth[a] for o, a, _, _ in calls if depth.get(a, 0) > 0 and (o, "caller") not in want}
+    inherited = {o: n for o, n in depth.items() if n}
     assert {r["ord"]: r["depth"] for r in got if r["kind"] == "inherited"} == inherited
     assert sum(r["n_refs"] for r in O.orphan_report(O.orphan_cascade(c, d, x)).collect()) == len(got)
     assert O.orphan_cascade(c.limit(0), d, x).count() == 0
     assert O.orphan_cascade(c, d.limit(0), x).where("kind = 'direct' and reason <> 'missing'").count() == 0
 
 
+def test_hot_names_and_times_of_orphans(spark):
+    t0 = datetime(2024, 1, 1)
+    calls = [(i, "hot", "hot" if i % 2 else f"f{i % 40}", t0 + timedelta(seconds=i if i % 3 else 7)) for i in range(3000)]
+    c = spark.createDataFrame(calls, "ord bigint, caller string, callee string, imported_at timestamp_ntz").repartition(7)
+    d = spark.createDataFrame([("hot", t0 + timedelta(seconds=100), t0 + timedelta(seconds=900)), ("hot", t0 + timedelta(seconds=1500), None)], "symbol string, imported_at timestamp_ntz, retracted_at timestamp_ntz")
+    got = {(r["ord"], r["side"]): r["reason"] for r in O.direct_orphans(O.call_references(c, spark.createDataFrame([], "name string")), d).collect()}
+    want = {}
+    for o, a, b, t in calls:
+        for side, n in (("caller", a), ("callee", b)):
+            s = (t - t0).seconds
+            if n != "hot":
+                want[o, side] = "missing"
+            elif not (100 <= s < 900 or s >= 1500):
+                want[o, side] = "late" if s < 100 else "retracted"
+    assert got == want
+
+
+def test_salted_join_equals_join(spark):
+    rnd = random.Random(3)
+    left = [(rnd.choice(["hot"] * 6 + ["a", "b", None]), i) for i in range(500)]
+    a = spark.createDataFrame(left, "k string, i int").repartition(5)
+    b = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3), (None, 4), ("z", 5)], "k string, j int")
+    for how in ("inner", "left", "left_semi"):
+        assert rows(S.salted_join(a, b, "k", how)) == rows(a.join(b, "k", how))
+    assert S.salted_join(a.limit(0), b, "k").count() == 0
+
+
 def test_below_keeps_least_depths(spark):
     pairs = [(f"{i}", f"{i + 1}") for i in range(23)] + [("0", "9"), ("5", "0")]
     e = spark.createDataFrame(pairs, "src string, dst string")
