@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 
+#: Identifiers with letters of any script, as the classic grammar takes them.
+UNICODE_IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
+
 # Fixed value: the words that a function name can't be.
 KEYWORDS = (
     "if", "while", "for", "switch", "return", "sizeof", "int", "char", "void", "short", "long", "float", "double",
@@ -84,18 +87,19 @@ def symbol_in_context(context: Column) -> Column:
     return chain.when(function.isNotNull() & ~F.lower(function).isin(*KEYWORDS), out(function, "function"))
 
 
-def global_definition(context: Column) -> Column:
+def global_definition(context: Column, identifier: str = IDENTIFIER) -> Column:
     """struct(name, kind) by the stricter grammar, which looks at the beginning only, null if nothing.
 
     typedef needs a name right before a brace or semicolon: typedefs of several words aren't found.
+    identifier may be UNICODE_IDENTIFIER.
     """
     pick = lambda pattern: F.nullif(F.regexp_extract(context, rf"\A\s*{pattern}", 1), F.lit(""))
     rules = (
-        ("macro", rf"#define\s+({IDENTIFIER})"),
-        ("typedef", rf"typedef\s+(?:struct\s+|union\s+|enum\s+)?({IDENTIFIER})\s*[{{;]"),
-        ("struct", rf"struct\s+({IDENTIFIER})\s*\{{"),
-        ("union", rf"union\s+({IDENTIFIER})\s*\{{"),
-        ("enum", rf"enum\s+({IDENTIFIER})\s*\{{"),
+        ("macro", rf"#define\s+({identifier})"),
+        ("typedef", rf"typedef\s+(?:struct\s+|union\s+|enum\s+)?({identifier})\s*[{{;]"),
+        ("struct", rf"struct\s+({identifier})\s*\{{"),
+        ("union", rf"union\s+({identifier})\s*\{{"),
+        ("enum", rf"enum\s+({identifier})\s*\{{"),
     )
     chain = None
     for kind, pattern in rules:
@@ -138,6 +142,13 @@ def index_line(raw: Column) -> Column:
     )
 
 
+def line_fields(raw: Column) -> Column:
+    """struct(file, symbol, line, context) of a tab-separated line whose line number is any text, without
+    its line end; null with fewer than four fields."""
+    p = F.split(F.regexp_replace(raw, r"(?:\r\n|\n|\r)\z", ""), "\t", 4)
+    return F.when(F.size(p) == 4, F.struct(*[p[i].alias(n) for i, n in enumerate(("file", "symbol", "line", "context"))]))
+
+
 def tab_line(*fields: Column) -> Column:
     """Fields joined by tabs, as the extracted files have them."""
     return F.concat_ws("\t", *fields)

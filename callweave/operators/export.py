@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,15 +36,32 @@ def export_edges(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
+def json_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, element): each node and edge as JSON, made by the executors; part is nodes or edges. Null
+    fields are kept."""
+    keep = {"ignoreNullFields": "false"}
+    n = nodes.select(F.lit("nodes").alias("part"), F.to_json(F.struct(F.struct("id", "label", "file", "line", "kind").alias("data")), keep).alias("element"))
+    e = edges.select(F.lit("edges").alias("part"), F.to_json(F.struct(F.struct("id", "source", "target").alias("data")), keep).alias("element"))
+    return n.unionByName(e)
+
+
+def _documents(nodes: DataFrame, edges: DataFrame) -> Iterator[str]:
+    """Pieces of {elements: {nodes, edges}}, nodes by name, edges by source and ord."""
+    none = lambda df: df.limit(0)
+    yield '{"elements":{"nodes":['
+    for name, got in (("nodes", json_elements(nodes.orderBy("id"), none(edges))), ("edges", json_elements(none(nodes), edges.orderBy("source", "ord")))):
+        for i, r in enumerate(got.where(F.col("part") == name).toLocalIterator()):
+            yield ("," if i else "") + "\n" + r["element"]
+        yield "\n]" + (',"edges":[' if name == "nodes" else "}}\n")
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> str:
-    """{elements: {nodes, edges}} as text. The document is one value for a viewer: choose a subgraph
-    that one can draw; the rows come to the driver one partition at a time."""
-    n = [{"data": {k: v for k, v in r.asDict().items() if v is not None}} for r in nodes.orderBy("id").toLocalIterator()]
-    e = [{"data": {k: r[k] for k in ("id", "source", "target")}} for r in edges.orderBy("source", "ord").toLocalIterator()]
-    return json.dumps({"elements": {"nodes": n, "edges": e}}, ensure_ascii=False, indent=0)
+    """{elements: {nodes, edges}} as one text, for a subgraph that a viewer can draw."""
+    return "".join(_documents(nodes, edges))
 
 
 def export_to_file(defs: DataFrame, rows: DataFrame, path: str, pattern: str | None = None, max_nodes: int | None = None) -> None:
+    """The document as one file; elements come to the driver a partition at a time and are written at once."""
     chosen = export_symbols(defs, pattern, max_nodes)
     with open(path, "w", encoding="utf-8") as f:
-        f.write(graph_json(export_nodes(defs, chosen), export_edges(rows, chosen)))
+        f.writelines(_documents(export_nodes(defs, chosen), export_edges(rows, chosen)))

@@ -6,12 +6,16 @@ answer, one for each path, and refuse cycles, on which it would never end.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators import hierarchy as H
 from callweave.operators.orphans import below
 from callweave.operators.relations import functions, leaf_symbols
+from callweave.operators.skew import salted_join
 from callweave.runtime import cut
 
 
@@ -24,12 +28,23 @@ def transitive_calls(rows: DataFrame) -> DataFrame:
     return H.reach(_edges(rows)).select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
 
 
-def dependency_cone(rows: DataFrame, symbol: str, hops: int = 4) -> DataFrame:
+def dependency_cone(rows: DataFrame, symbol: str, hops: int = 1) -> DataFrame:
     """(symbol): everything the symbol calls directly or not, itself only if it is on a cycle.
 
-    Only what is reachable is followed. An unknown symbol has an empty cone.
+    Only what is reachable is followed: each round meets the call rows with the names found last, a
+    small set that Spark broadcasts, so the rows are scanned and not shuffled. An unknown symbol has an
+    empty cone.
     """
-    edges = cut(_edges(rows))
+    return _cone(rows.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), symbol, hops)
+
+
+def callers_transitive(rows: DataFrame, symbol: str, hops: int = 1) -> DataFrame:
+    """(symbol): everything that calls the symbol directly or not, itself only if it is on a cycle."""
+    return _cone(rows.select(F.col("callee").alias("src"), F.col("caller").alias("dst")), symbol, hops)
+
+
+def _cone(edges: DataFrame, symbol: str, hops: int) -> DataFrame:
+    edges = edges.where("src is not null and dst is not null")
     direct = edges.where(F.col("src") == symbol).select(F.col("dst").alias("name"))
     return below(direct, edges, hops).select(F.col("name").alias("symbol"))
 
@@ -39,12 +54,18 @@ def cone_sizes(rows: DataFrame) -> DataFrame:
     return transitive_calls(rows).groupBy(F.col("caller").alias("symbol")).agg(F.count(F.lit(1)).alias("n_symbols"))
 
 
-def path_counts(rows: DataFrame, max_depth: int | None = None) -> DataFrame:
+def path_counts(rows: DataFrame, max_depth: int | None = None, caller: str | None = None) -> DataFrame:
     """(caller, callee, n_paths): how many paths join a pair, repeated call rows counting each.
 
-    Raises on cycles, and on paths of more than max_depth edges if that is given. Counts are 64-bit;
-    an overflow is an error.
+    With caller only its own pairs, found from it alone. Raises on cycles, or on those that the caller
+    reaches, and on paths of more than max_depth edges if that is given. Counts are 64-bit; an overflow
+    is an error.
     """
+    if caller is not None:
+        inside = dependency_cone(rows, caller).select(F.col("symbol").alias("_i"))
+        mine = rows.where((F.col("caller") == caller) & F.col("callee").isNotNull())
+        others = rows.where(F.col("caller") != caller).join(inside, F.col("caller") == F.col("_i"), "left_semi")
+        rows = mine.unionByName(others)
     edges = cut(
         rows.where("caller is not null and callee is not null")
         .groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst"))
@@ -52,7 +73,8 @@ def path_counts(rows: DataFrame, max_depth: int | None = None) -> DataFrame:
     )
     if not H.on_cycles(edges.select("src", "dst")).isEmpty():
         raise ValueError("path counts are infinite on cycles")
-    front, known, depth = edges, edges, 1
+    front = edges if caller is None else edges.where(F.col("src") == caller)
+    known, depth = front, 1
     while True:
         step = edges.select(F.col("src").alias("_m"), F.col("dst").alias("_d"), F.col("n").alias("_k"))
         front = cut(
@@ -116,12 +138,15 @@ def conversion_order(levels: DataFrame) -> DataFrame:
     return levels.orderBy("level", "symbol")
 
 
-def conversion_order_compat(defs: DataFrame, rows: DataFrame, max_steps: int = 1_000_000) -> list[str]:
+def conversion_order_compat(defs: DataFrame, rows: DataFrame, max_steps: int = 1_000_000, max_edges: int = 1_000_000) -> list[str]:
     """The classic visiting order: roots first, names repeated, callees outside the functions too.
 
-    A queue of names, sorted before each visit, has no parallel form; it runs on the driver over the
-    distinct edges and is meant for graphs that fit there. Raises after max_steps, as on cycles.
+    A queue of names, sorted before each visit, has no parallel form; it runs on the driver and is meant
+    for graphs that fit there: more than max_edges call rows or functions are an error before anything is
+    collected. Raises after max_steps, as on cycles. conversion_order is the order for graphs of any size.
     """
+    if max(rows.count(), defs.count()) > max_edges:
+        raise ValueError("more than max_edges call rows or definitions: use conversion_order")
     nodes = {r[0] for r in functions(defs).collect()}
     below_: dict[str, set[str]] = {}
     for a, b in _edges(rows).collect():
@@ -140,28 +165,33 @@ def conversion_order_compat(defs: DataFrame, rows: DataFrame, max_steps: int = 1
 
 
 def level_listing(levels: DataFrame, rows: DataFrame) -> DataFrame:
-    """(level, symbol, callees): the callees of each function joined in the order of their rows."""
-    listed = (
-        rows.where("caller is not null and callee is not null")
-        .groupBy(F.col("caller").alias("_c"))
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "callee"))).alias("_l"))
-    )
-    return levels.join(listed, F.col("symbol") == F.col("_c"), "left").select(
-        "level", "symbol", F.coalesce(F.array_join(F.col("_l.callee"), ", "), F.lit("")).alias("callees")
-    )
+    """(level, symbol, ord, callee): a row for each call of each function, ord giving their order; a
+    function without calls has one row with nulls."""
+    called = rows.where("caller is not null and callee is not null").select("caller", "ord", "callee")
+    lone = levels.join(called.select(F.col("caller").alias("_c")), F.col("symbol") == F.col("_c"), "left_anti")
+    listed = salted_join(called.withColumnRenamed("caller", "symbol"), levels, "symbol").select("level", "symbol", "ord", "callee")
+    empty = lone.select("level", "symbol", F.lit(None).cast("bigint").alias("ord"), F.lit(None).cast("string").alias("callee"))
+    return listed.unionByName(empty)
 
 
 def format_level(listing: DataFrame, level: int) -> str:
-    """One level as text, as it is printed."""
-    got = listing.where(F.col("level") == level).orderBy("symbol").collect()
-    if not got:
+    """One level as text, as it is printed: callees joined in the order of their rows."""
+    return _text(listing.where(F.col("level") == level).orderBy("symbol", "ord").toLocalIterator(), level)
+
+
+def _text(rows: Iterable, level: int) -> str:
+    lines: list[str] = []
+    for symbol, own in itertools.groupby(rows, key=lambda r: r["symbol"]):
+        callees = [r["callee"] for r in own if r["callee"] is not None]
+        lines.append(symbol + (f" -> {', '.join(callees)}" if callees else ""))
+    if not lines:
         return f"Level {level} does not exist\n"
     if level == 1:
-        return f"Level 1 (Leaves):\n  [{','.join(r['symbol'] for r in got)}]\n"
-    return f"Level {level}:\n" + "".join(f"  {r['symbol']}" + (f" -> {r['callees']}" if r["callees"] else "") + "\n" for r in got)
+        return f"Level 1 (Leaves):\n  [{','.join(lines)}]\n"
+    return f"Level {level}:\n" + "".join(f"  {x}\n" for x in lines)
 
 
 def format_all_levels(listing: DataFrame) -> str:
-    """All levels as text, the highest first."""
-    have = sorted((r[0] for r in listing.select("level").distinct().collect()), reverse=True)
-    return "\n".join(format_level(listing, k) for k in have) + "\n"
+    """All levels as text, the highest first, in one pass."""
+    rows = listing.orderBy(F.desc("level"), "symbol", "ord").toLocalIterator()
+    return "\n".join(_text(own, k) for k, own in itertools.groupby(rows, key=lambda r: r["level"])) + "\n"

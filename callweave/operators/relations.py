@@ -87,10 +87,11 @@ def ordered_match(order: DataFrame, wanted: DataFrame) -> DataFrame:
     return order.join(wanted.select(F.col("symbol").alias("_w")).distinct(), F.col("symbol") == F.col("_w"), "left_semi")
 
 
-def function_names(symbols: DataFrame) -> DataFrame:
-    """(symbol, first_ord): scopes but <global>, with where each came first."""
+def function_names(symbols: DataFrame, identifiers_only: bool = False) -> DataFrame:
+    """(symbol, first_ord): scopes but <global>, with where each came first; if wanted, identifiers only."""
+    named = symbols.where((F.col("symbol") != "<global>") & F.col("symbol").isNotNull())
     return (
-        symbols.where((F.col("symbol") != "<global>") & F.col("symbol").isNotNull())
+        (named.where(X.is_identifier(F.col("symbol"))) if identifiers_only else named)
         .groupBy("symbol")
         .agg(F.min("ord").alias("first_ord"))
     )
@@ -152,9 +153,3 @@ def statistics(**tables: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def first_rows(rows: DataFrame, n: int, by: str) -> DataFrame:
-    return rows.orderBy(by).limit(n)
-
-

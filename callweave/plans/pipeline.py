@@ -6,9 +6,10 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from callweave.log import RunLog
 from callweave.operators import relations as R
+from callweave.runtime import cut, numbered
 from callweave.sources import lines as L
 from callweave.sources import scanner as S
 from callweave.store import Store
@@ -24,27 +25,28 @@ def resolve_folder(path: str, root: str | None = None) -> str:
     raise FileNotFoundError(path)
 
 
-def _with_ord(rows: DataFrame) -> DataFrame:
-    """Ordinals that are unique and follow file and line: a hash of the file above, the line below."""
-    return rows.withColumn("ord", F.shiftleft(F.pmod(F.xxhash64("file"), F.lit(1 << 31)), 32) + F.col("line"))
+def extract_tree(spark: SparkSession, folder: str, recursive: bool = True) -> dict[str, DataFrame]:
+    """symbol, def, calls, callers and includes of a source tree, as DataFrames.
 
-
-def extract_tree(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """symbol, def, calls, callers and includes of a source tree, as DataFrames."""
-    scanned = S.scan_lines(L.source_files(spark, folder))
-    symbol, calls = _with_ord(S.symbols(scanned)), _with_ord(S.call_sites(scanned))
+    Ordinals are dense and follow file, line and place within the line.
+    """
+    scanned = cut(S.scan_lines(L.source_files(spark, folder, recursive)))
+    symbol, calls = numbered(S.symbols(scanned), "file", "line"), numbered(S.call_sites(scanned), "file", "line", "place").drop("place")
     return {
         "symbol": symbol,
-        "def": _with_ord(S.function_definitions(scanned)),
+        "def": numbered(S.definitions(scanned), "file", "line"),
         "calls": calls,
         "callers": R.callers_listing(calls),
         "includes": R.includes(symbol),
     }
 
 
-def write_extracted(spark: SparkSession, folder: str, out: str) -> dict[str, str]:
-    """The five listings as tab-separated text below out; gives their paths."""
-    got = extract_tree(spark, folder)
+def write_extracted(spark: SparkSession, folder: str, out: str, recursive: bool = True) -> dict[str, str]:
+    """The five listings as tab-separated text below out; gives their paths.
+
+    Callees have the true callee as a fifth field, which importing them as listed takes up.
+    """
+    got = extract_tree(spark, folder, recursive)
     calls = got["calls"].withColumnRenamed("caller", "symbol")
     plan = {
         "symbols": (got["symbol"], ("file", "symbol", "line", "context")),
@@ -58,13 +60,25 @@ def write_extracted(spark: SparkSession, folder: str, out: str) -> dict[str, str
     return {n: f"{out}/{n}" for n in plan}
 
 
-def import_listing(store: Store, what: str, path: str, mode: str = "compat", stop_on_error: bool = False, error_log: str | None = None) -> dict[str, int]:
-    """Appends a listing to symbol, def or calls; gives processed, succeeded and failed."""
-    lines = L.ordered_lines(store.spark, path)
+def import_listing(
+    store: Store, what: str, path: str, mode: str = "compat", stop_on_error: bool = False, error_log: str | None = None, log: RunLog | None = None
+) -> dict[str, int]:
+    """Appends a listing to symbol, def or calls; gives processed, succeeded and failed.
+
+    Rows are numbered on from the highest stored ord. Each import replaces the error log.
+    """
+    lines = L.ordered_lines(store.spark, path, store.next_ord(what))
     if stop_on_error:
-        L.stop_on_error(lines, what)
+        L.stop_on_error(L.ordered_lines(store.spark, path), what)
     rows = {"symbol": L.import_symbols, "def": L.import_defs}[what](lines) if what != "calls" else L.import_calls(lines, mode)
     store.append(what, rows)
     if error_log:
-        L.write_error_log(L.parsed(lines)[1], error_log)
-    return L.import_stats(lines, mode).first().asDict()
+        L.write_error_log(L.parsed(L.ordered_lines(store.spark, path))[1], error_log)
+    stats = L.import_stats(lines, "strict" if mode == "strict" else "compat").first().asDict()
+    if log:
+        log.operation(f"import {what} from {path}: {stats}")
+        log.files(lines)
+        if log.level > 0:
+            for r in L.samples(rows):
+                log.debug("sample", str(r))
+    return stats

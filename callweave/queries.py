@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,14 @@ from callweave.functions import text as X
 from callweave.operators import export as E
 from callweave.operators import graph as G
 from callweave.operators import relations as R
-from callweave.runtime import table
+from callweave.runtime import ensure_checkpoint_dir, table
+from callweave.schemas import RELATIONS
 from callweave.sources import lines as L
+from callweave.store import Store
 
 PATTERN = "merge"
 SOURCE = "bodebre_main"
+TARGET = "log_printf"
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -197,16 +201,57 @@ def extract_callers(spark, d):
     return R.callers_listing(table(spark, d, "calls"))
 
 
-@_query(r"""select ord, lower(replace(file, '\', '/')) || chr(9) || symbol || chr(9) || line::varchar || chr(9) || context as value
- from symbol where file is not null and symbol is not null and line is not null and context is not null
- and not contains(file, ' ') and context <> '' and not regexp_matches(context, '^\s|\s$')""")
+_INDEX = """i as (select ord, regexp_replace(regexp_replace({}, '\\A\\s+', ''), '\\s+\\z', '') as r from {}),
+ f as (select ord, regexp_extract(r, '\\A([^ ]*) ([^ ]*) ([^ ]*) ((?s:.*))\\z', ['a', 'b', 'c', 'd']) as x from i where regexp_matches(r, '\\A[^ ]* [^ ]* [^ ]* '))"""
+
+
+@_query(f"""with {_INDEX.format("concat_ws(' ', file, symbol, line::varchar, context)", "symbol")}
+ select ord, lower(replace(x.a, '\\', '/')) || chr(9) || x.b || chr(9) || x.c || chr(9) || x.d as value from f""")
 def reformat_lines(spark, d):
-    t = table(spark, d, "symbol").where(
-        r"file is not null and symbol is not null and line is not null and context is not null and not contains(file, ' ') and context <> '' and not context rlike '^\\s|\\s$'"
-    )
+    """Rows with nulls lack fields and are dropped, as short lines are."""
+    t = table(spark, d, "symbol")
     return L.reformat_index_lines(t.select("ord", F.concat_ws(" ", "file", "symbol", F.col("line").cast("string"), "context").alias("raw")))
 
 
+@_query(f"""with {_INDEX.format("concat_ws(' ', file, callee, line::varchar, context)", "calls")}
+ select ord, concat_ws(chr(9), lower(replace(x.a, '\\', '/')), caller, x.c, x.d, x.b) as value from f join calls using (ord)""")
+def reformat_calls(spark, d):
+    t = table(spark, d, "calls")
+    raw = F.concat_ws(" ", "file", "callee", F.col("line").cast("string"), "context").alias("raw")
+    return L.reformat_call_lines(t.select("ord", raw, "caller"), F.col("caller"), keep_callee=True)
+
+
+@_query(r"""with p as (select raw_id as ord, regexp_replace(raw, '(\r\n|\n|\r)\z', '') as r from symbol_raw),
+ x as (select ord, regexp_extract(r, '\A([^\t]*)\t([^\t]*)\t([^\t]*)\t((?s:.*))\z', ['file', 'symbol', 'line', 'context']) as f from p where regexp_matches(r, '\A[^\t]*\t[^\t]*\t[^\t]*\t'))
+ select ord, f.file as file, f.symbol as symbol, f.line as line, f.context as context from x""")
+def def_line_fields(spark, d):
+    return L.line_fields(_lines(spark, d))
+
+
+@_query(r"""select regexp_extract(raw, '\A[^\t]*\t([^\t]*)\t', 1) as symbol, min(raw_id) as first_ord from symbol_raw
+ where regexp_matches(raw, '\A[^\t]*\t[^\t]*\t') and regexp_extract(raw, '\A[^\t]*\t([^\t]*)\t', 1) <> '<global>' group by 1""")
+def listed_names(spark, d):
+    return L.listed_names(_lines(spark, d))
+
+
+@_query(f"select symbol, min(ord) as first_ord from symbol where symbol <> '<global>' and regexp_full_match(symbol, '{_IDENT}') group by symbol")
+def function_names_identifiers(spark, d):
+    return R.function_names(table(spark, d, "symbol"), identifiers_only=True)
+
+
+@_query(
+    f"with {_STRICT.replace(_IDENT, X.UNICODE_IDENTIFIER)} select ord, coalesce(mac, td, st, un, en) as name from h where coalesce(mac, td, st, un, en) is not null"
+)
+def global_definitions_unicode(spark, d):
+    found = table(spark, d, "symbol").where("symbol = '<global>'").select("ord", X.global_definition(F.col("context"), X.UNICODE_IDENTIFIER).alias("s"))
+    return found.where("s is not null").select("ord", "s.name")
+
+
+@_query(f"{_PARSE}, q as (select {_FIELDS} from p where ok) select ord, file, symbol as caller, line, case when contains(context, chr(9)) then regexp_replace(context, '\\t[^\\t]*\\z', '') else context end as context, case when contains(context, chr(9)) then regexp_extract(context, '([^\\t]*)\\z', 1) else 'unknown' end as callee from q")
+def import_calls_listed(spark, d):
+    return L.import_calls(_lines(spark, d), "listed")
+
+
 # --- relations -----------------------------------------------------------------------------------
 
 
@@ -344,18 +389,63 @@ def ordered_match(spark, d):
     return R.ordered_match(_levels(spark, d), R.symbols_matching(table(spark, d, "def"), PATTERN))
 
 
-@_query(f"""with recursive {_LEVELS} select lv.level, lv.symbol, coalesce(string_agg(c.callee, ', ' order by c.ord), '') as callees
- from lv left join calls c on c.caller = lv.symbol and c.callee is not null group by 1, 2""")
+@_query(f"""with recursive {_LEVELS} select lv.level, lv.symbol, c.ord, c.callee
+ from lv left join calls c on c.caller = lv.symbol and c.callee is not null""")
 def level_listing(spark, d):
     return G.level_listing(_levels(spark, d), table(spark, d, "calls"))
 
 
-@_query()
-def conversion_order_compat(spark, d):
-    """On the acyclic nation and region keys, whose size is fixed."""
-    rows = key_dag(spark, d).where("caller like 'N%'")
-    defs = rows.select(F.col("caller").alias("symbol"), F.lit("function").alias("kind")).unionByName(rows.select(F.col("callee").alias("symbol"), F.lit("function").alias("kind")))
-    return spark.createDataFrame(list(enumerate(G.conversion_order_compat(defs, rows))), "place bigint, symbol string")
+@_query(f"with recursive {_EDGES}, c as (select src as symbol from e where dst = '{TARGET}' union select e.src from c join e on e.dst = c.symbol) select symbol from c")
+def callers_transitive(spark, d):
+    return G.callers_transitive(table(spark, d, "calls"), TARGET)
+
+
+@_query(f"with recursive {_DAG}, p as (select src, dst from k where src = 'O1' union all select p.src, k.dst from p join k on k.src = p.dst) select src as caller, dst as callee, count(*) as n_paths from p group by 1, 2")
+def path_multiplicity_from(spark, d):
+    return G.path_counts(key_dag(spark, d), caller="O1")
+
+
+# --- store ---------------------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession, d: str) -> Store:
+    """The tables in a store of its own, below the folder for shared intermediate data."""
+    ensure_checkpoint_dir(spark)
+    s = Store(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}")
+    for name in RELATIONS:
+        s.append(name, table(spark, d, name))
+    return s
+
+
+_CALL = "ord, file, caller, line, context, callee"
+
+
+@_query(f"select {_CALL} from calls union all select {_CALL} from calls")
+def store_append(spark, d):
+    s = _store(spark, d)
+    s.append("calls", table(spark, d, "calls"))
+    return s.table("calls")
+
+
+@_query(f"select {_CALL} from calls where callee is distinct from 'log_printf'")
+def store_retract(spark, d):
+    s = _store(spark, d)
+    s.retract_all("calls", callee="log_printf")
+    s.compact()
+    return s.table("calls")
+
+
+@_query("select relation, 0::bigint as n_rows from (values ('symbol'), ('def'), ('calls')) t(relation)")
+def store_clear(spark, d):
+    s = _store(spark, d)
+    s.clear()
+    return s.statistics()
+
+
+@_query("select d.file as file, c.caller, count(*) as n from calls c join def d on d.symbol = c.callee where d.kind = 'macro' group by 1, 2")
+def store_views(spark, d):
+    _store(spark, d).create_views()
+    return spark.sql("select d.file as file, c.caller, count(*) as n from calls c join def d on d.symbol = c.callee where d.kind = 'macro' group by 1, 2")
 
 
 # --- export ------------------------------------------------------------------------------------------
@@ -381,8 +471,12 @@ def export_max_nodes(spark, d):
     return E.export_nodes(defs, E.export_symbols(defs, PATTERN, 10))
 
 
-@_query()
+@_query(f"""with {_CHOSEN}, {_NODE} select 'nodes' as part, json_object('data', json_object('id', c.symbol, 'label', c.symbol, 'file', file, 'line', line, 'kind', coalesce(kind, 'unknown')))::varchar as element
+ from c left join first on first.symbol = c.symbol union all
+ select 'edges', json_object('data', json_object('id', caller || '_' || callee, 'source', caller, 'target', callee))::varchar
+ from calls where caller in (select symbol from c) and callee in (select symbol from c)""")
 def export_json(spark, d):
+    """All functions, as the elements that the document is made of."""
     defs, rows = table(spark, d, "def"), table(spark, d, "calls")
-    chosen = E.export_symbols(defs, PATTERN)
-    return spark.createDataFrame([(E.graph_json(E.export_nodes(defs, chosen), E.export_edges(rows, chosen)),)], "json string")
+    chosen = E.export_symbols(defs)
+    return E.json_elements(E.export_nodes(defs, chosen), E.export_edges(rows, chosen))

@@ -2,52 +2,51 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from callweave.functions import text as X
+from callweave.runtime import after_counts
 
-SOURCE_GLOBS = "*.{c,h,cpp,hpp,cc,hh,C,H,CPP,HPP,CC,HH}"
+# Endings of source files, in any letter case, and those that the plain listing takes.
+SOURCE_GLOB = "*.{[cC],[hH],[cC][pP][pP],[hH][pP][pP],[cC][cC],[hH][hH]}"
+PLAIN_GLOB = "*.{c,h,cpp,hpp}"
 
 
-def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, raw): lines of a text file or folder, numbered from 0 by file, place and line.
+def ordered_lines(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """(ord, raw): lines of a text file or folder, numbered from first by file, place and line.
 
-    Splits at LF only. Files are read whole only to number their lines; for a listing too large for
-    one task give a folder of parts. A missing path gives no rows.
+    Splits at LF only. A file of any size is read in blocks: the lines of each block are counted, and
+    numbered from the sum of the counts before. A missing path gives no rows.
     """
     try:
-        files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_f"))
+        lines = spark.read.option("lineSep", "\n").text(path).select(
+            F.col("value").alias("raw"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_at")
+        )
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "ord bigint, raw string")
-    lines = files.select("_f", F.posexplode(F.split("value", "\n", -1)).alias("_p", "raw"))
-    last = F.size(F.split("value", "\n", -1)) - 1
-    per_file = files.select("_f", last.alias("_n"))
-    # each file's first ordinal: one row for each file, not for each line
-    from pyspark.sql import Window as W
-
-    first = per_file.select("_f", "_n", (F.sum(F.col("_n") + 1).over(W.orderBy("_f")) - F.col("_n") - 1).alias("_first"))
-    return (
-        lines.join(F.broadcast(first) if _one_file(files) else first, "_f")
-        .where((F.col("_p") < F.col("_n")) | (F.col("raw") != ""))
-        .select((F.col("_first") + F.col("_p")).alias("ord"), "raw")
-    )
-
+    return after_counts(lines.withColumn("_id", F.monotonically_increasing_id()), first, ("_f", "_at"))
 
-def _one_file(files: DataFrame) -> bool:
-    return len(files.inputFiles()) <= 10_000
 
+def source_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """(file, text) of all C and C++ sources below a folder, endings in any letter case.
 
-def source_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, text) of all C and C++ sources below a folder, endings in any letter case."""
-    schema = T.StructType([T.StructField("value", T.StringType())])
-    read = spark.read.schema(schema).option("recursiveFileLookup", "true").option("wholetext", "true")
-    files = read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return files.where(F.lower("file").rlike(r"\.(c|h|cpp|hpp|cc|hh)$"))
+    file is the path relative to the folder. Not recursive: only the folder itself, lower-case endings
+    of C and C++ without .cc and .hh, and no hidden files, as the plain listing has it.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().getRawPath().rstrip("/") + "/"
+    read = spark.read.option("pathGlobFilter", SOURCE_GLOB if recursive else PLAIN_GLOB).option("recursiveFileLookup", str(recursive).lower())
+    files = read.schema("value string").text(folder, wholetext=True)
+    raw = F.split(F.col("_metadata.file_path"), re.escape(root), 2)[1]
+    name = F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    found = files.select(name.alias("file"), F.col("value").alias("text"))
+    return found if recursive else found.where(~F.contains("file", F.lit("/")) & ~F.startswith("file", F.lit(".")))
 
 
 def count_lines(spark: SparkSession, path: str) -> int:
@@ -85,17 +84,42 @@ def import_defs(lines: DataFrame) -> DataFrame:
 
 def import_calls(lines: DataFrame, mode: str = "compat") -> DataFrame:
     """Call sites. compat: one row a line, its callee the first identifier before a parenthesis;
-    strict: a row for each callee that isn't a keyword, or one with unknown."""
+    strict: a row for each callee that isn't a keyword, or one with unknown; listed: the callee is a fifth
+    field, as extracted listings have it, and lines without one have unknown."""
     rows = parsed(lines)[0].withColumnRenamed("symbol", "caller")
     if mode == "compat":
         return rows.withColumn("callee", X.first_callee(F.col("context")))
+    if mode == "listed":
+        five = F.contains("context", F.lit("\t"))
+        return rows.withColumn("callee", F.when(five, F.substring_index("context", "\t", -1)).otherwise("unknown")).withColumn(
+            "context", F.when(five, F.regexp_replace("context", r"\t[^\t]*\z", "")).otherwise(F.col("context"))
+        )
     if mode != "strict":
-        raise ValueError("mode is compat or strict")
+        raise ValueError("mode is compat, strict or listed")
     found = X.all_callees(F.col("context"))
     one = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unknown")))
     return rows.withColumn("callee", F.explode(one))
 
 
+def line_fields(lines: DataFrame) -> DataFrame:
+    """(ord, file, symbol, line, context) of lines of four fields, none of which is checked or changed."""
+    f = X.line_fields(F.col("raw"))
+    return lines.select("ord", f.alias("f")).where(F.col("f").isNotNull()).select("ord", "f.*")
+
+
+def listed_names(lines: DataFrame) -> DataFrame:
+    """(symbol, first_ord): the second field of lines with two tabs or more, but for <global>; the last
+    that came up is the first row."""
+    name = F.split(F.col("raw"), "\t", 3)
+    named = lines.where(F.size(name) == 3).select("ord", name[1].alias("symbol")).where(F.col("symbol") != "<global>")
+    return named.groupBy("symbol").agg(F.min("ord").alias("first_ord")).orderBy(F.desc("first_ord"))
+
+
+def samples(rows: DataFrame, n: int = 5) -> list[dict]:
+    """The first rows by ord, for a look at what was read."""
+    return [r.asDict() for r in rows.orderBy("ord").limit(n).collect()]
+
+
 def import_stats(lines: DataFrame, mode: str = "compat") -> DataFrame:
     """(processed, succeeded, failed) in one row; compat counts one more as processed than there are."""
     ok = X.is_line(F.col("raw")) & X.line_field(F.col("raw"), 3).try_cast("bigint").isNotNull()
@@ -137,8 +161,8 @@ def reformat_index_lines(lines: DataFrame) -> DataFrame:
     return lines.select("ord", f.alias("f")).where(F.col("f").isNotNull()).select("ord", X.tab_line("f.file", "f.scope", "f.line", "f.context").alias("value"))
 
 
-def reformat_call_lines(lines: DataFrame, caller: str, keep_callee: bool = False) -> DataFrame:
-    """Index lines of the calls of one function: the callee gives way to the caller or becomes a fifth field."""
-    f = X.index_line(F.col("raw"))
-    fields = [F.col("f.file"), F.lit(caller), F.col("f.line"), F.col("f.context")] + ([F.col("f.scope")] if keep_callee else [])
-    return lines.select("ord", f.alias("f")).where(F.col("f").isNotNull()).select("ord", X.tab_line(*fields).alias("value"))
+def reformat_call_lines(lines: DataFrame, caller: Column, keep_callee: bool = False) -> DataFrame:
+    """Index lines (ord, raw, ...) of calls: the callee gives way to the caller or becomes a fifth field."""
+    fields = ["f.file", "_caller", "f.line", "f.context"] + (["f.scope"] if keep_callee else [])
+    split = lines.select("ord", X.index_line(F.col("raw")).alias("f"), caller.alias("_caller")).where(F.col("f").isNotNull())
+    return split.select("ord", X.tab_line(*fields).alias("value"))

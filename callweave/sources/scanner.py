@@ -16,23 +16,19 @@ from callweave.functions import text as X
 HEADER = rf"\A[A-Za-z_][A-Za-z0-9_\s\*]*?[\s\*]({X.IDENTIFIER})\s*\([^;]*\)?[^;]*\z"
 
 
+# Comments and literals, whichever begins first; a line end inside is allowed where the language allows it.
+_BLOCK = r"/\*(?s:.*?)(?:\*/|\z)"
+_LINE = r"//[^\n\\]*+(?:\\(?s:.)[^\n\\]*+)*+"
+_TEXT = r'"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+"'
+_CHAR = r"'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'"
+HIDDEN = f"{_BLOCK}|{_LINE}|{_TEXT}|{_CHAR}"
+
+
 def _blank(text):
-    """Comments and literals replaced, line ends kept."""
-    literals = F.regexp_replace(text, r'"(?:[^"\\\n]|\\.)*+"', '""')
-    chars = F.regexp_replace(literals, r"'(?:[^'\\\n]|\\.)*+'", "''")
-    line = F.regexp_replace(chars, r"//[^\n]*", "")
-    # a block comment leaves as many line ends as it had
-    pieces = F.split(line, r"/\*", -1)
-    kept = F.transform(
-        pieces,
-        lambda p, i: F.when(i == 0, p).otherwise(
-            F.concat(
-                F.regexp_replace(F.substring_index(p, "*/", 1), r"[^\n]", ""),
-                F.when(F.contains(p, F.lit("*/")), F.substring(p, F.instr(p, "*/") + 2, F.length(p))).otherwise(F.lit("")),
-            )
-        ),
-    )
-    return F.array_join(kept, "")
+    """Comments removed and literals emptied, line ends kept."""
+    ends = lambda t: F.regexp_replace(t, r"[^\n]", "")
+    kept = F.transform(F.regexp_extract_all(text, F.lit(HIDDEN), 0), lambda t: F.concat(F.when(t.startswith("/"), "").otherwise(F.concat(F.substring(t, 1, 1), F.substring(t, 1, 1))), ends(t)))
+    return F.array_join(F.zip_with(F.split(text, HIDDEN, -1), kept, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
 
 def scan_lines(files: DataFrame) -> DataFrame:
@@ -81,10 +77,24 @@ def function_definitions(lines: DataFrame) -> DataFrame:
     )
 
 
+def definitions(lines: DataFrame) -> DataFrame:
+    """(file, symbol, line, context, kind): function headers, and the macros and types that global lines define."""
+    code = F.trim("code")
+    what = F.coalesce(X.global_definition(code), X.symbol_in_context(code))
+    other = (
+        lines.where("scope = '<global>'")
+        .withColumn("_d", what)
+        .where(F.col("_d").isNotNull() & (F.col("_d.kind") != "function"))
+        .select(X.normalize_path(F.col("file")).alias("file"), F.col("_d.name").alias("symbol"), "line", F.trim("context").alias("context"), F.col("_d.kind").alias("kind"))
+    )
+    return function_definitions(lines).unionByName(other)
+
+
 def call_sites(lines: DataFrame) -> DataFrame:
-    """(file, caller, line, context, callee): every call of a function body, keywords left out."""
+    """(file, caller, line, place, context, callee): every call of a function body, keywords left out;
+    place tells the calls of a line apart."""
     found = X.all_callees(F.col("code"))
     names = F.when(F.col("header"), F.filter(found, lambda x: x != F.col("scope"))).otherwise(found)
     return lines.where("scope <> '<global>'").select(
-        X.normalize_path(F.col("file")).alias("file"), F.col("scope").alias("caller"), "line", F.trim("context").alias("context"), F.explode(names).alias("callee")
+        X.normalize_path(F.col("file")).alias("file"), F.col("scope").alias("caller"), "line", F.trim("context").alias("context"), F.posexplode(names).alias("place", "callee")
     )

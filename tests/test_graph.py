@@ -69,6 +69,14 @@ def test_bags_and_sets(spark):
         G.path_counts(call_rows(spark, [("a", "a")]))
     with pytest.raises(ValueError):
         G.conversion_order_compat(def_rows(spark, "rab"), call_rows(spark, [("r", "a"), ("a", "b"), ("b", "a")]), max_steps=100)
+    with pytest.raises(ValueError):
+        G.conversion_order_compat(defs, calls, max_edges=4)
+    assert names(G.callers_transitive(calls, "d")) == ["a", "b", "c"]
+    looped = call_rows(spark, [("a", "b"), ("a", "b"), ("b", "c"), ("x", "a"), ("x", "x"), (None, "c"), ("c", None)])
+    assert rows(G.path_counts(looped, caller="a")) == [("a", "b", 2), ("a", "c", 2)]
+    assert G.path_counts(looped, caller="nobody").count() == 0
+    with pytest.raises(ValueError):
+        G.path_counts(looped, caller="x")
 
 
 def test_listing_and_export(spark, tmp_path):
@@ -81,6 +89,8 @@ def test_listing_and_export(spark, tmp_path):
     assert G.format_level(listing, 9) == "Level 9 does not exist\n"
     assert G.format_all_levels(listing).startswith("Level 2:")
     E.export_to_file(defs, calls, str(tmp_path / "g.json"))
+    assert E.graph_json(E.export_nodes(defs, E.export_symbols(defs)), E.export_edges(calls, E.export_symbols(defs))) == (tmp_path / "g.json").read_text()
+    assert json.loads(E.graph_json(E.export_nodes(defs, defs.select("symbol").limit(0)), E.export_edges(calls, defs.select("symbol").limit(0)))) == {"elements": {"nodes": [], "edges": []}}
     got = json.loads((tmp_path / "g.json").read_text())["elements"]
     assert [n["data"]["id"] for n in got["nodes"]] == ["a", "b"]
     assert [e["data"]["id"] for e in got["edges"]] == ["a_b", "a_b"]
