@@ -16,7 +16,7 @@ from callweave.operators import hierarchy as H
 from callweave.operators.orphans import below
 from callweave.operators.relations import functions, leaf_symbols
 from callweave.operators.skew import salted_join
-from callweave.runtime import cut
+from callweave.runtime import cut, cut_counting
 
 
 def _edges(rows: DataFrame) -> DataFrame:
@@ -91,12 +91,14 @@ def path_counts(rows: DataFrame, max_depth: int | None = None, caller: str | Non
     return known.groupBy(F.col("src").alias("caller"), F.col("dst").alias("callee")).agg(F.sum("n").alias("n_paths"))
 
 
-def dependency_levels(defs: DataFrame, rows: DataFrame, hops: int = 6) -> DataFrame:
+def dependency_levels(defs: DataFrame, rows: DataFrame) -> DataFrame:
     """(level, symbol): each function once, callees below callers.
 
     Level 1 are functions without any call row. Any other has one level more than its highest callee
     among the functions, at least 2. Functions on a cycle, recursion included, or above one share a
-    last level. Levels are longest paths, raised by semi-naive rounds of several steps each.
+    last level. Levels are peeled: each round counts, for the callers of the functions found last, how
+    many of their callees have a level by now; those that have all get the next one. What is never
+    peeled makes up the last level. A round touches the callers of one level, not all functions.
     """
     fs = cut(functions(defs))
     name = fs.select(F.col("symbol").alias("_f"))
@@ -105,32 +107,31 @@ def dependency_levels(defs: DataFrame, rows: DataFrame, hops: int = 6) -> DataFr
         .join(name, F.col("src") == F.col("_f"), "left_semi")
         .join(name, F.col("dst") == F.col("_f"), "left_semi")
     )
-    up = cut(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    stuck = cut(below(H.on_cycles(inner), up).select(F.col("name").alias("_s")))
     leaves = leaf_symbols(defs, rows).select(F.col("symbol").alias("_l"))
-    level = cut(
-        fs.join(stuck, F.col("symbol") == F.col("_s"), "left_anti")
+    needs = inner.groupBy(F.col("src").alias("_s")).agg(F.count(F.lit(1)).alias("_need"))
+    need = cut(
+        fs.join(needs, F.col("symbol") == F.col("_s"), "left")
         .join(leaves, F.col("symbol") == F.col("_l"), "left")
-        .select("symbol", F.when(F.col("_l").isNotNull(), 1).otherwise(2).alias("level"))
+        .select("symbol", F.coalesce("_need", F.lit(0)).cast("bigint").alias("need"), F.col("_l").isNotNull().alias("leaf"))
     )
-    open_up = cut(up.join(stuck, F.col("dst") == F.col("_s"), "left_anti"))
-    front = level
-    while not front.isEmpty():
-        step, raised = front, None
-        for _ in range(hops):
-            step = step.join(open_up, F.col("symbol") == F.col("src")).groupBy(F.col("dst").alias("symbol")).agg((F.max("level") + 1).alias("level"))
-            raised = step if raised is None else raised.unionByName(step)
-        best = raised.groupBy(F.col("symbol").alias("_n")).agg(F.max("level").alias("_v"))
-        merged = cut(
-            level.join(best, F.col("symbol") == F.col("_n"), "left").select(
-                "symbol", F.greatest("level", F.coalesce("_v", "level")).alias("level"), (F.col("_v") > F.col("level")).alias("_up")
-            )
-        )
-        front = merged.where("_up").select("symbol", "level")
-        level = merged.select("symbol", "level")
-    top = level.agg(F.coalesce(F.max("level"), F.lit(1))).first()[0]
-    last = stuck.select(F.col("_s").alias("symbol"), F.lit(top + 1).alias("level"))
-    return level.unionByName(last).select(F.col("level").cast("bigint").alias("level"), "symbol")
+    wanted = need.select(F.col("symbol").alias("_w"), "need")
+    front = need.where("leaf").select("symbol")
+    levels, done, level = front.withColumn("level", F.lit(1)), front.withColumn("have", F.lit(0).cast("bigint")).limit(0), 1
+    outside = need.where("need = 0 and not leaf").select("symbol", F.lit(0).cast("bigint").alias("have"), F.lit(True).alias("all"))
+    while True:
+        more = inner.join(front, F.col("dst") == F.col("symbol")).groupBy("src").agg(F.count(F.lit(1)).alias("have"))
+        have = done.unionByName(more.select(F.col("src").alias("symbol"), "have")).groupBy("symbol").agg(F.sum("have").alias("have"))
+        state = have.join(wanted, F.col("symbol") == F.col("_w")).select("symbol", "have", (F.col("have") == F.col("need")).alias("all"))
+        state, got = cut_counting(state.unionByName(outside) if level == 1 else state, n=F.count_if("all"))
+        if not got["n"]:
+            break
+        level += 1
+        front, done = state.where("all").select("symbol"), state.where("not all").select("symbol", "have")
+        levels = levels.unionByName(front.withColumn("level", F.lit(level)))
+        if level % 32 == 0:
+            levels = cut(levels)
+    rest = fs.join(levels.select(F.col("symbol").alias("_n")), F.col("symbol") == F.col("_n"), "left_anti").withColumn("level", F.lit(level + 1))
+    return levels.unionByName(rest).select(F.col("level").cast("bigint").alias("level"), "symbol")
 
 
 def conversion_order(levels: DataFrame) -> DataFrame:
