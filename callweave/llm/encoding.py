@@ -3,17 +3,19 @@
 A smoothed character trigram model is trained on the clean records of the corpus itself. For every
 token with characters beyond ASCII, each chain (encode with the set that was wrongly taken, decode
 with the right one) gives a candidate; the gain in log likelihood, summed over the tokens of a text,
-decides between the chains, and the likeliest is taken if its gain passes a margin. Chains that end
-in UTF-8 prove themselves by their byte structure and need little more; single-byte chains always
-decode, so their margin is set from what all clean records reach; one word that clean records know
-well, in the place of one they don't, proves them too.
+decides between the chains, and the likeliest is taken if its gain passes a margin. The margins, one for
+chains to UTF-8 and one for single-byte chains, are set from what all clean records reach by chance; one
+word that clean records know well, in the place of one they don't, proves a chain too.
 """
 
 from __future__ import annotations
 
 import collections
+import dataclasses
 import functools
+import itertools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,21 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.text import spread
+from callweave.runtime import cut
 
 # Character sets that text is wrongly read with; it was written in another of them or in UTF-8.
 WRONG = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman")
 
-UTF8_MARGIN = 5.0
-#: A single-byte chain is proven by one word of so many characters that so many clean texts know, if
-#: they know it so many times as often as the word in its place.
+#: A chain is proven by one word that so many clean texts know, if they know it so many times as often as
+#: the word in its place; by a single-byte chain the word must have so many characters.
 PROOF_CHARS, PROOF_TEXTS, PROOF_TIMES = 3, 3, 20
-#: No character costs more than this, so that rare but intended ones don't outweigh all else.
+#: No character costs more than this, so that rare but intended ones don't outweigh all else; one that no
+#: clean text holds costs as much again where a chain would bring it in.
 WORST = -9.0
 #: Width of the bins that chance gains of clean texts are counted in.
 BIN = 0.125
-
-#: The model keeps so many n-grams, the most frequent ones; all records are counted.
-MAX_GRAMS = 1_000_000
+#: Kept are n-grams with at least this share of all characters of clean texts, and words with at least this
+#: share of all their words beyond ASCII: so at most 2,000,000 of each kind, whatever the corpus. Rarer ones
+#: can't decide between chains; while the corpus has fewer than 2,000,000 nothing is left out.
+LEAST_SHARE = 5e-7
 
 LOST = "�"
 _C1 = regex.compile("[\x80-\x84\x86-\x9f]")
@@ -86,6 +90,23 @@ def undo_legacy(token: str, wrong: str, right: str) -> str | None:
     return fixed if fixed != token else None
 
 
+def undo_all_legacy(token: str) -> Iterator[tuple[tuple[str, str], str]]:
+    """(chain, fixed) of all single-byte chains that change the token; each set encodes it once."""
+    for w in WRONG:
+        try:
+            raw = token.encode(w)
+        except UnicodeError:
+            continue
+        for r in WRONG:
+            if r != w:
+                try:
+                    fixed = raw.decode(r)
+                except UnicodeError:
+                    continue
+                if fixed != token:
+                    yield (w, r), fixed
+
+
 def chains() -> list[tuple[str, str]]:
     return [(w, "utf-8") for w in WRONG] + [(w, r) for r in WRONG for w in WRONG if w != r]
 
@@ -126,11 +147,6 @@ def _decoding_sets(token: str) -> tuple[int, ...]:
 _FOLD = {9: 32, 10: 32, 13: 32} | {i: ord("0") for i in range(ord("0"), ord("9") + 1)} | {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 
 
-def _points(text: str) -> np.ndarray:
-    """Code points with blanks around, letters A-Z in lower case and digits as 0; line ends are blanks."""
-    return np.frombuffer(f"  {text.translate(_FOLD)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-
-
 def _grams(points: np.ndarray, n: int) -> np.ndarray:
     """All n-grams of code points, each packed into one number."""
     size = max(len(points) - n + 1, 0)
@@ -167,21 +183,56 @@ class CharModel:
         t = f"  {token.translate(_FOLD)} "
         return sum(self._log(t[i : i + 3]) for i in range(len(t) - 2))
 
+    def unseen(self, token: str) -> int:
+        """How many of its characters no clean text holds."""
+        return sum(not ch.isascii() and ord(ch) not in self.counts[1] for ch in token)
+
+
+def count_clean(texts: DataFrame) -> DataFrame:
+    """(kind, word, hits) over all clean texts, in one pass: token, how often each folded token occurs;
+    word, how many texts hold a word beyond ASCII or the shape of one; text, how many there are, all of
+    them under the empty word and those beyond ASCII under a."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            tokens, known, n, beyond = collections.Counter(), collections.Counter(), 0, 0
+            for t in b["text"]:
+                if not structurally_clean(t):
+                    continue
+                n += 1
+                parts = t.translate(_FOLD).split(" ")
+                tokens.update(parts)
+                if not t.isascii():
+                    beyond += 1
+                    cores = {c for k in parts if not k.isascii() and len(c := k.strip(_SIGNS)) <= 200}
+                    known.update(cores | {_shape(c) for c in cores})
+            tokens.pop("", None)
+            rows = [("token", w, h) for w, h in tokens.items()] + [("word", w, h) for w, h in known.items()] + [("text", "", n), ("text", "a", beyond)]
+            yield pd.DataFrame(rows, columns=["kind", "word", "hits"])
+
+    return cut(texts.mapInPandas(count, "kind string, word string, hits bigint").groupBy("kind", "word").agg(F.sum("hits").alias("hits")))
+
 
-def train(texts: DataFrame, max_grams: int = MAX_GRAMS) -> CharModel:
-    """Counts over all clean records; what is collected is bounded by max_grams, not by the corpus."""
+def train(counted: DataFrame, least_share: float = LEAST_SHARE) -> CharModel:
+    """The model of all clean records from the result of count_clean. What is collected is bounded by
+    least_share, not by the corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            clean = [_points(t) for t in b["text"] if t and structurally_clean(t)]
-            if not clean:
-                continue
+            points = np.frombuffer("".join(f"  {w} " for w in b["word"]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            lengths = np.array([len(w) + 3 for w in b["word"]])
+            own = np.repeat(np.arange(len(b)), lengths)
+            weights = b["hits"].to_numpy()[own]
             for n in (1, 2, 3):
-                grams, hits = np.unique(np.concatenate([_grams(p, n) for p in clean]), return_counts=True)
+                whole = own[: len(own) - n + 1] == own[n - 1 :]
+                grams, at = np.unique(_grams(points, n)[whole], return_inverse=True)
+                hits = np.bincount(at, weights=weights[: len(whole)][whole]).astype(np.int64)
                 yield pd.DataFrame({"n": np.int32(n), "gram": grams, "hits": hits})
 
-    every = texts.mapInPandas(count, "n int, gram bigint, hits bigint").groupBy("n", "gram").agg(F.sum("hits").alias("hits"))
-    rows = every.orderBy(F.desc("hits"), "n", "gram").limit(max_grams).toPandas()
+    words = counted.where("kind = 'token'").select("word", "hits")
+    every = cut(words.mapInPandas(count, "n int, gram bigint, hits bigint").groupBy("n", "gram").agg(F.sum("hits").alias("hits")))
+    total = every.where("n = 1").agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
+    rows = every.where(F.col("hits") >= least_share * total).toPandas()
     counts: dict[int, dict[int, int]] = {1: {}, 2: {}, 3: {}}
     for n, part in rows.groupby("n"):
         counts[int(n)] = dict(zip(part["gram"].tolist(), part["hits"].tolist(), strict=True))
@@ -202,126 +253,170 @@ def _shape(core: str) -> str:
     return "\n" + _LETTERS.sub("a", core)
 
 
-def known_words(texts: DataFrame) -> dict[str, int]:
+def known_words(counted: DataFrame, least_share: float = LEAST_SHARE) -> tuple[dict[str, int], int]:
     """Words beyond ASCII, and shapes of such words, that two or more of the clean texts hold, with the
-    number of these texts."""
+    number of these texts; and how many texts a word may be in without being among them."""
+    words = counted.where("kind = 'word'")
+    total = words.agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
+    least = max(2, math.ceil(least_share * total))
+    found = words.where(F.col("hits") >= least).select("word", "hits").toPandas()
+    return dict(found.itertuples(index=False, name=None)), least - 1 if least > 2 else 0
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hits = collections.Counter()
-            for t in b["text"]:
-                if structurally_clean(t):
-                    cores = {c for k in _TOKENS.findall(t) if not k.isascii() and len(c := _core(k)) <= 200}
-                    hits.update(cores | {_shape(c) for c in cores})
-            yield pd.DataFrame({"word": list(hits), "hits": list(hits.values())}).astype({"word": str, "hits": "int64"})
 
-    every = texts.mapInPandas(words, "word string, hits bigint").groupBy("word").agg(F.sum("hits").alias("hits"))
-    return dict(every.where("hits > 1").toPandas().itertuples(index=False, name=None))
+@dataclasses.dataclass(frozen=True)
+class Margins:
+    """Gains above these are accepted without proof: of single-byte chains, and of chains to UTF-8."""
+
+    single: float = math.inf
+    utf8: float = math.inf
 
 
 class Judge:
     """Finds the likeliest chain for texts under a model and the words of clean texts."""
 
-    def __init__(self, model: CharModel, words: dict[str, int], margin: float = math.inf):
-        self.model, self.words, self.margin = model, words, margin
+    def __init__(self, model: CharModel, words: dict[str, int], margins: Margins = Margins(), unlisted: int = 0):
+        self.model, self.words, self.margins, self.unlisted = model, words, margins, unlisted
         self.gains: dict[str, list[tuple[tuple[str, str], str, float, bool]]] = {}
 
     def token(self, token: str) -> list[tuple[tuple[str, str], str, float, bool]]:
         """(chain, fixed, gain, proven) of all chains that change the token, if the gain is above 0
-        or the chain proven. No single-byte chain makes a word into a rarer one, or into an unknown one
-        of a rarer shape."""
+        or the chain proven. No chain makes a word into a rarer one, or into an unknown one of a rarer
+        shape."""
         got = self.gains.get(token)
         if got is None:
-            base, got, seen = self.model.score(token), [], {}
+            base, got, seen = None, [], {}
             own, shaped = (self.words.get(x, 0) for x in (_core(token), _shape(_core(token))))
-            for chain in chains():
-                fixed = apply_chain(token, chain)
-                if fixed is None or LOST in fixed:
+            utf8 = (((w, "utf-8"), f) for w in WRONG if (f := undo_utf8(token, w)))
+            for chain, fixed in itertools.chain(utf8, undo_all_legacy(token)):
+                if LOST in fixed or (chain[1] != "utf-8" and _C1.search(fixed)):
                     continue
-                if chain[1] != "utf-8" and _C1.search(fixed):
-                    continue
-                proven = False
-                if chain[1] != "utf-8":
+                if fixed not in seen:
                     core = _core(fixed)
                     hits = self.words.get(core, 0)
                     if hits < own or (not hits and self.words.get(_shape(core), 0) < shaped):
-                        continue
-                    proven = len(core) >= PROOF_CHARS and hits >= max(PROOF_TEXTS, PROOF_TIMES * own)
-                if fixed not in seen:
-                    seen[fixed] = self.model.score(fixed) - base
-                if seen[fixed] > 0 or proven:
-                    got.append((chain, fixed, seen[fixed], proven))
+                        seen[fixed] = None
+                    else:
+                        base = self.model.score(token) if base is None else base
+                        new = max(self.model.unseen(fixed) - self.model.unseen(token), 0)
+                        gain = self.model.score(fixed) - base + WORST * new
+                        seen[fixed] = gain, hits >= max(PROOF_TEXTS, PROOF_TIMES * max(own, self.unlisted)), len(core)
+                if seen[fixed] is None:
+                    continue
+                gain, known, n = seen[fixed]
+                proven = known and (chain[1] == "utf-8" or n >= PROOF_CHARS)
+                if gain > 0 or proven:
+                    got.append((chain, fixed, gain, proven))
             if len(self.gains) > 200_000:
                 self.gains.clear()
             if len(token) <= 200:
                 self.gains[token] = got
         return got
 
-    def best(self, text: str) -> tuple[tuple[str, str] | None, float, bool, float]:
-        """(chain, gain, proven, gain of the best single-byte chain): the chain is null if neither
-        proven nor above its margin."""
-        sums: dict[tuple[str, str], float] = {}
-        proofs: dict[tuple[str, str], int] = {}
+    def weigh(self, text: str) -> tuple[list, list]:
+        """[gain, proofs, longest word, chain] of the best chain to UTF-8 and of the best single-byte one: the
+        one with most proofs, then the highest gain."""
+        sums: dict[tuple[str, str], list] = {}
         for t in _TOKENS.findall(text):
             if not t.isascii():
                 for chain, _, gain, proven in self.token(t):
-                    sums[chain] = sums.get(chain, 0.0) + gain
-                    proofs[chain] = proofs.get(chain, 0) + proven
-        utf8 = max(((g, c) for c, g in sums.items() if c[1] == "utf-8"), default=(0.0, None))
-        proof, legacy, single = max(((proofs[c], g, c) for c, g in sums.items() if c[1] != "utf-8"), default=(0, 0.0, None))
-        passed = [(utf8[0], utf8[1], False)] if utf8[1] and utf8[0] > UTF8_MARGIN else []
-        if single and (proof or legacy > self.margin):
-            passed.append((legacy, single, proof > 0))
-        gain, chain, proven = max(passed, default=(0.0, None, False))
-        return chain, gain, proven, legacy
+                    s = sums.setdefault(chain, [0.0, 0, 0])
+                    s[0] += gain
+                    s[1] += proven
+                    s[2] = max(s[2], len(_core(t)))
+        none = [0.0, 0, 0, None]
+        utf8 = max(([*s, c] for c, s in sums.items() if c[1] == "utf-8"), key=lambda s: (s[0], s[3]), default=none)
+        single = max(([*s, c] for c, s in sums.items() if c[1] != "utf-8"), key=lambda s: (s[1], s[0], s[3]), default=none)
+        return utf8, single
+
+    def best(self, text: str) -> tuple[tuple[str, str] | None, float, bool]:
+        """(chain, gain, proven): the chain is null if neither proven nor above its margin. A single-byte
+        chain without proof needs a word of PROOF_CHARS characters; letters alone decode to anything."""
+        utf8, single = self.weigh(text)
+        passed = []
+        if utf8[3] and (utf8[1] or utf8[0] > self.margins.utf8):
+            passed.append((utf8[1] > 0, utf8[0], utf8[3], utf8[1] > 0))
+        if single[3] and (single[1] or (single[0] > self.margins.single and single[2] >= PROOF_CHARS)):
+            passed.append((single[1] > 0, single[0], single[3], single[1] > 0))
+        if not passed:
+            return None, 0.0, False
+        _, gain, chain, proven = max(passed)
+        return chain, gain, proven
 
     def _fix(self, text: str, chain: tuple[str, str], gain: float) -> str:
         """All tokens the chain improves; of a single-byte chain also those it can decode, if most
         of the text's tokens beyond ASCII gain by it. Below the margin the proven tokens only."""
         tokens = [t for t in _TOKENS.findall(text) if not t.isascii()]
-        whole = chain[1] == "utf-8" or gain > self.margin
+        whole = chain[1] == "utf-8" or gain > self.margins.single
         better = {t: f for t in tokens for c, f, _, proven in self.token(t) if c == chain and (whole or proven)}
         if chain[1] != "utf-8" and sum(t in better for t in tokens) * 2 > len(tokens):
             better = {t: apply_chain(t, chain) or t for t in tokens} | better
         return _TOKENS.sub(lambda m: better.get(m.group(), m.group()), text)
 
-    def restore(self, text: str, rounds: int = 4) -> tuple[str, str, float]:
-        """(text, chains taken, gain). Text read wrongly several times takes several rounds. After a chain
-        to UTF-8 a single-byte one must be proven."""
-        taken, total = [], 0.0
-        for _ in range(rounds):
-            chain, gain, proven, _ = self.best(text)
+    def restore(self, text: str) -> tuple[str, str, float]:
+        """(text, chains taken, gain). Text read wrongly several times takes as many rounds; they end when no
+        chain is accepted, or one leads back to a text there was before. After a chain to UTF-8 a
+        single-byte one must be proven."""
+        taken, total, were = [], 0.0, {text}
+        while True:
+            chain, gain, proven = self.best(text)
             if chain is None or (chain[1] != "utf-8" and not proven and any(c.endswith(">utf-8") for c in taken)):
                 break
             fixed = self._fix(text, chain, gain)
-            if fixed == text:
+            if fixed in were:
                 break
+            were.add(fixed)
             text, total = fixed, total + gain
             taken.append(f"{chain[0]}>{chain[1]}")
         return text, " ".join(taken), total
 
 
-def chance_gains(texts: DataFrame, shared) -> DataFrame:
-    """(bin, hits): how many of the clean texts beyond ASCII gain how much by their best single-byte
-    chain. Texts in which such a chain is proven aren't clean."""
+_JUDGES: dict[str, Judge] = {}
+
+
+def _judge(run: str, trained, margins: Margins = Margins()) -> Judge:
+    """The judge of a run, kept by the Python worker from task to task with what it knows of tokens."""
+    if run not in _JUDGES:
+        _JUDGES.clear()
+        counts, words, unlisted = trained.value
+        _JUDGES[run] = Judge(CharModel(counts), words, unlisted=unlisted)
+    judge = _JUDGES[run]
+    judge.margins = margins
+    return judge
 
-    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, words = shared.value
-        judge = Judge(CharModel(counts), words)
+
+def _doubtful(texts: DataFrame, trained, run: str) -> DataFrame:
+    """(key, text, clean, proven, utf8, single) of the texts that any chain improves, or that hold lost characters."""
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = _judge(run, trained)
         for b in batches:
-            bins = collections.Counter()
-            for t in b["text"]:
-                if not t.isascii() and structurally_clean(t):
-                    _, _, proven, gain = judge.best(t)
-                    if not proven:
-                        bins[math.ceil(gain / BIN)] += 1
-            yield pd.DataFrame({"bin": list(bins), "hits": list(bins.values())}, dtype="int64")
+            out = []
+            for k, t in zip(b["key"].tolist(), b["text"].tolist(), strict=True):
+                utf8, single = judge.weigh(t)
+                if utf8[3] or single[3] or LOST in t or _C1.search(t):
+                    out.append((k, t, structurally_clean(t), utf8[1] + single[1] > 0, utf8[0], single[0]))
+            if out:
+                yield pd.DataFrame(out, columns=["key", "text", "clean", "proven", "utf8", "single"])
+
+    return cut(texts.mapInPandas(weigh, "key bigint, text string, clean boolean, proven boolean, utf8 double, single double"))
 
-    return texts.mapInPandas(gains, "bin bigint, hits bigint").groupBy("bin").agg(F.sum("hits").alias("hits"))
+
+def _margins(doubtful: DataFrame, n_clean: int) -> Margins:
+    """Margins from the chance gains of all distinct clean texts beyond ASCII. Texts in which a chain is
+    proven aren't clean; those that no chain improves gain nothing."""
+    clean = doubtful.where("clean").groupBy("text").agg(*[F.first(c).alias(c) for c in ("proven", "utf8", "single")])
+    bins = clean.select("proven", *[F.ceil(F.col(c) / BIN).alias(c) for c in ("utf8", "single")]).groupBy("proven", "utf8", "single").agg(F.count(F.lit(1)).alias("n")).collect()
+    left = n_clean - sum(r["n"] for r in bins)
+    chance = {c: collections.Counter({0: max(left, 0)}) for c in ("utf8", "single")}
+    for r in bins:
+        if not r["proven"]:
+            for c, seen in chance.items():
+                seen[r[c]] += r["n"]
+    return Margins(validated_margin(list(chance["single"].items())), validated_margin(list(chance["utf8"].items())))
 
 
 def validated_margin(bins: list[tuple[int, int]]) -> float:
-    """The single-byte margin: a quarter above what all but one of 2,000 clean records reach by chance.
+    """A margin: a quarter above what all but one of 2,000 clean records reach by chance.
     Without clean records nothing passes."""
     total, seen = sum(n for _, n in bins), 0
     for b, n in sorted(bins):
@@ -334,29 +429,32 @@ def validated_margin(bins: list[tuple[int, int]]) -> float:
 def find_garbled(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, chain, gain, restored, complete): a row for each garbled text.
 
-    Garbled is a text that a chain improves beyond its margin, or that holds U+FFFD or a C1 control
-    other than NEL. restored is the text after all accepted chains; complete tells that no such
-    character is left in it. chain is empty where none was accepted. Null and empty texts are not
+    Garbled is a text that a chain improves beyond its margin or by a proven word, or that holds U+FFFD or
+    a C1 control other than NEL. restored is the text after all accepted chains; complete tells that no
+    such character is left in it. chain is empty where none was accepted. Null and empty texts are not
     garbled; repeated rows come repeatedly; an empty table gives no rows.
     """
     texts = spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0))
-    model = train(texts.select("text"))
-    distinct = texts.where(~F.col("text").rlike(r"^[\x00-\x7f]*$")).select("text").distinct()
-    trained = rows.sparkSession.sparkContext.broadcast((model.counts, known_words(distinct)))
-    margin = validated_margin([(r["bin"], r["hits"]) for r in chance_gains(distinct, trained).collect()])
+    ascii_only = F.col("text").rlike(r"^[\x00-\x7f]*$")
+    beyond = texts.where(~ascii_only)
+    counted = count_clean(texts.where(ascii_only).select("text").unionByName(beyond.select("text").distinct()))  # copies count once
+    model = train(counted)
+    words, unlisted = known_words(counted)
+    n_clean = counted.where("kind = 'text' and word = 'a'").agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
+    trained = rows.sparkSession.sparkContext.broadcast((model.counts, words, unlisted))
+    run = uuid.uuid4().hex
+    doubtful = _doubtful(beyond, trained, run)
+    margins = _margins(doubtful, n_clean)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, words = trained.value
-        judge = Judge(CharModel(counts), words, margin)
+        judge = _judge(run, trained, margins)
         for b in batches:
             out = []
             for k, t in zip(b["key"].tolist(), b["text"].tolist(), strict=True):
-                if t.isascii():
-                    continue
                 restored, taken, gain = judge.restore(t)
                 if taken or LOST in t or _C1.search(t):
                     out.append((k, taken, round(gain, 3), restored, LOST not in restored and not _C1.search(restored)))
             if out:
                 yield pd.DataFrame(out, columns=["key", "chain", "gain", "restored", "complete"])
 
-    return texts.mapInPandas(scan, "key bigint, chain string, gain double, restored string, complete boolean").withColumnRenamed("key", key)
+    return doubtful.select("key", "text").mapInPandas(scan, "key bigint, chain string, gain double, restored string, complete boolean").withColumnRenamed("key", key)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from callweave.llm import encoding as E
@@ -113,10 +114,57 @@ def test_margin_of_all_distinct_texts(spark):
     assert E.validated_margin([(0, 9995), (80, 5)]) == 0
     assert E.validated_margin([(0, 9000), (80, 1000)]) == 1.25 * 80 * E.BIN
     texts = corpus(300)
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    shared = spark.sparkContext.broadcast((E.train(df).counts, E.known_words(df)))
-    bins = E.chance_gains(df, shared).collect()
-    assert sum(r["hits"] for r in bins) == sum(not t.isascii() for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "key bigint, text string").where("text is not null")
+    counted = E.count_clean(df.select("text"))
+    n = counted.where("kind = 'text' and word = 'a'").first()["hits"]
+    assert n == sum(not t.isascii() for t in texts)
+    trained = spark.sparkContext.broadcast((E.train(counted).counts, *E.known_words(counted)))
+    margins = E._margins(E._doubtful(df, trained, "test"), n)
+    assert margins == E._margins(E._doubtful(df.union(df.where("key = 0")), trained, "test"), n)
+    assert 0 <= margins.single < 20 and 0 <= margins.utf8 < 20
     rows = list(enumerate(texts)) + [(9000, "said ca³kiem później świeżą farbę")] + [(10_000 + i, texts[0]) for i in range(6000)]
     got = E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert all(r["doc_id"] == 9000 for r in got)
+
+
+def test_counts_equal_a_plain_count(spark):
+    texts = ["Café noir, 12 CAFÉS\n", "plain  text", "lost �", "x" * 300_000 + " né", "né né"]
+    counted = E.count_clean(spark.createDataFrame([(t,) for t in texts], "text string"))
+    model = E.train(counted)
+    want = {1: {}, 2: {}, 3: {}}
+    for t in texts:
+        for w in t.translate(E._FOLD).split(" ") if E.LOST not in t else ():
+            for k in (1, 2, 3):
+                for i in range(len(w) + 3 - k + 1) if w else ():
+                    g = 0
+                    for ch in f"  {w} "[i : i + k]:
+                        g = g << 21 | ord(ch)
+                    want[k][g] = want[k].get(g, 0) + 1
+    assert model.counts == want
+    assert E.known_words(counted)[0] == {"né": 2, "\na": 0} or E.known_words(counted)[0]["né"] == 2
+    fewer = E.train(counted, 0.01).counts
+    assert all(set(fewer[k]) < set(want[k]) for k in want)
+
+
+def test_signs_read_as_utf8_and_short_words(spark):
+    """A lone sign that was UTF-8, words that no garbling made, and letters left over where a text was cut."""
+    base = [f"the keeper paid £{i} for it… at the café" for i in range(20, 60)] * 4 + corpus(400)
+    rows = list(enumerate(base)) + [(9000, "they paid Â£77 for the keeper’s own words"), (9001, "said: wordsâ€¦ and more"), (9002, "после чем ждали сов"), (9003, "всё е"), (9004, "à é ú")]
+    got = {r["doc_id"]: r["restored"] for r in E.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {9000: "they paid £77 for the keeper’s own words", 9001: "said: words… and more"}
+
+
+def test_many_rounds():
+    text = "ã ñ ü"
+    bad = text
+    for _ in range(6):
+        bad = spoil(bad, "latin-1", "utf-8")
+    counts = {n: {} for n in (1, 2, 3)}
+    for t in (text, " ã ", " ñ ", " ü "):
+        p = np.frombuffer(f"  {t} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+        for n in counts:
+            for g in E._grams(p, n).tolist():
+                counts[n][g] = counts[n].get(g, 0) + 1000
+    judge = E.Judge(E.CharModel(counts), {}, E.Margins(utf8=0.0))
+    fixed, taken, _ = judge.restore(bad)
+    assert fixed == text and len(taken.split()) == 6
