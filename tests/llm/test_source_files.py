@@ -94,8 +94,8 @@ def test_without_word_lists(spark):
     """What shape and naming tell alone; siblings and directories decide where a file itself tells nothing."""
     rnd = random.Random(5)
     rows, want = [], {}
-    for p in ("alpha", "bravo", "carol"):
-        for i in range(8):
+    for p in [f"{a}{b}" for a in ("alpha", "bravo", "carol", "delta") for b in "klmnop"]:
+        for i in range(4):
             rows += hand(rnd, p, f"{p}/src/{p}_{i}.c")
             want[f"{p}/src/{p}_{i}.c"] = "handwritten"
         rows += [(f"{p}/src/m.c", "<global>", "!function(a,b){a.d=b}(d,0);" * 20, "x", 1)] * 3
