@@ -1,30 +1,34 @@
 """Held-out test items that appear, whole or in part, inside corpus documents: greedy string tiling.
 
 Words are compared, without regard to letter case, punctuation, spacing or Unicode presentation.
-Every run of min_match words of an item is a seed. Documents are read once; a rolling hash over the
-word numbers of a whole batch finds the seeds. Where a document shares one with an item, running
-Karp-Rabin greedy string tiling marks the longest matches first, none of which overlap, so that
-passages in another order are covered too.
-
-Items are broadcast only up to a checked size; larger sets meet the documents in a join on seeds.
+Every run of min_match words of an item is a seed. Documents are read for seeds by a rolling hash over
+a whole batch; a Bloom filter of the item seeds, of bounded size, lets only those on that an item is
+likely to have. The few that are left meet the items in a join, in which seeds that very many documents
+share are salted. Where a document shares one with an item, running Karp-Rabin greedy string tiling
+marks the longest matches first, none of which overlap, so that passages in another order are covered
+too. Of the texts only those of documents with a seed are shuffled, once each.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.text import spread, words
+from callweave.operators.skew import salted_join
+from callweave.runtime import cut
 
 SCHEMA = "doc_id bigint, item_id bigint, tiles int, longest int, covered int, item_words int"
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier, arithmetic modulo 2^64
-_ABSENT = np.int64(-1)
+#: Bytes of a piece of the filter, as the built-in bitmaps have them, and the most bits of it (64 MB).
+PIECE, MAX_BITS = 4096, 29
 
 
 def tile(doc: list, item: list, min_match: int) -> list[tuple[int, int, int]]:
@@ -93,51 +97,75 @@ def _scan(doc: list, item: list, free_d: np.ndarray, free_i: np.ndarray, s: int)
     return longest, dict(matches)
 
 
-class Seeds:
-    """The seeds of a bounded set of items, ready to be looked up in batches of documents."""
-
-    def __init__(self, items: list[tuple[int, str]], k: int):
-        self.k = k
-        self.items = {i: words(t) for i, t in items if t}
-        self.number: dict[str, int] = {}
-        of: dict[int, set[int]] = defaultdict(set)
-        for i, w in self.items.items():
-            ids = np.array([self.number.setdefault(x, len(self.number)) for x in w], np.int64)
-            for h in self._hash(ids)[0].tolist():
-                of[h].add(i)
-        self.of = {h: sorted(s) for h, s in of.items()}
-        self.known = np.array(sorted(self.of), np.uint64)
-
-    def _hash(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of k known words, and where they begin."""
-        n = len(ids) - self.k + 1
-        if n <= 0:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        bad = np.concatenate(([0], np.cumsum(ids < 0)))
-        value = np.zeros(n, np.uint64)
-        u = (ids + 1).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(self.k):
-                value = value * _BASE + (u[j : j + n] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-                value ^= value >> np.uint64(29)
-        ok = bad[self.k :] == bad[:n]
-        return value[ok], np.nonzero(ok)[0]
-
-    def candidates(self, docs: list[list[str]]) -> dict[int, set[int]]:
-        """place of the document in the batch -> items with a common seed."""
-        ids: list[int] = []
-        ends = []
-        get = self.number.get
-        for d in docs:
-            ids.extend(get(w, -1) for w in d)
-            ids.append(-1)
-            ends.append(len(ids))
-        values, at = self._hash(np.array(ids, np.int64))
-        hit = np.isin(values, self.known)
-        out: dict[int, set[int]] = defaultdict(set)
-        for d, h in zip(np.searchsorted(ends, at[hit], side="right").tolist(), values[hit].tolist(), strict=True):
-            out[d].update(self.of[h])
-        return out
+_WORDS: dict[str, int] = {}
+
+
+def _numbers(words_: list[str]) -> list[int]:
+    """64-bit hashes of words, remembered by the worker."""
+    out = []
+    for w in words_:
+        h = _WORDS.get(w)
+        if h is None:
+            if len(_WORDS) > 500_000:
+                _WORDS.clear()
+            h = _WORDS[w] = xxhash.xxh64_intdigest(w)
+        out.append(h)
+    return out
+
+
+def seeds_of(texts: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, hash) of every window of k words, over a whole batch at once."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    total = int(lengths.sum())
+    n = total - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    u = np.fromiter((h for t in texts for h in _numbers(t)), np.uint64, total)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    value = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            value = value * _BASE + (u[j : j + n] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+            value ^= value >> np.uint64(29)
+    whole = owner[:n] == owner[k - 1 :]
+    return owner[:n][whole], value[whole]
+
+
+def _places(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each seed in a filter of 2^bits bits."""
+    return seed >> np.uint64(64 - bits), (seed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+class Filter:
+    """A Bloom filter of two places a seed, at most 2^MAX_BITS bits."""
+
+    def __init__(self, bits: int, pieces: list[tuple[int, bytes]]):
+        self.bits, self.bytes = bits, np.zeros(max(1 << (bits - 3), PIECE), np.uint8)
+        for number, piece in pieces:
+            self.bytes[number * PIECE : (number + 1) * PIECE] = np.frombuffer(piece, np.uint8)
+
+    def may_hold(self, seed: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(seed), bool)
+        for at in _places(seed, self.bits):
+            ok &= (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def _filter(of_items: DataFrame) -> Filter:
+    """The filter of all item seeds, put together on the executors in pieces of 4 KB. Of more seeds than it
+    is made for it lets more by, and no result changes."""
+    n = of_items.count()
+    bits = min(MAX_BITS, max(15, math.ceil(math.log2(max(n, 1) * 16))))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = np.concatenate(_places(b["seed"].to_numpy().astype(np.uint64), bits))
+            yield pd.DataFrame({"at": at.astype(np.int64)})
+
+    # bit positions of the built-in bitmaps begin at 1
+    at = of_items.select("seed").mapInPandas(places, "at bigint").select((F.col("at") + 1).alias("at"))
+    pieces = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("p")).collect()
+    return Filter(bits, [(r["b"] - 1, bytes(r["p"])) for r in pieces])
 
 
 def _measure(doc: list[str], item: list[str], k: int) -> tuple[int, int, int, int] | None:
@@ -155,74 +183,49 @@ def find_leaks(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    broadcast_chars: int = 20_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, tiles, longest, covered, item_words): pairs with a common run of min_match words.
 
     tiles counts the marked matches, longest and covered count words of the item. Null and empty
     texts, and texts of fewer than min_match words, share nothing. Rows of documents that come twice
-    give their pairs twice; an item id must be unique. Items above broadcast_chars characters in all
-    are joined by seed instead of being sent to every executor; the result is the same.
+    give their pairs twice; an item id must be unique.
     """
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
     its = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).where(F.length("item_text") > 0)
-    size = its.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
-    if size > broadcast_chars:
-        return _joined(docs, its, min_match)
-    seeds = docs.sparkSession.sparkContext.broadcast(Seeds([(r[0], r[1]) for r in its.collect()], min_match))
+    of_items = cut(_seed_rows(its, "item_id", "item_text", min_match))
+    known = docs.sparkSession.sparkContext.broadcast(_filter(of_items))
+    numbered = spread(docs).withColumn("_row", F.xxhash64("doc_id", "text"))
+    of_docs = _seed_rows(numbered.select("_row", "text"), "_row", "text", min_match, known)
+    pairs = cut(salted_join(cut(of_docs), of_items, "seed").select("_row", "item_id").distinct())
+    with_item = salted_join(pairs, its, "item_id")
+    met = numbered.join(pairs.select("_row").distinct(), "_row", "left_semi")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = seeds.value
-        for b in batches:
-            texts = [words(t) for t in b["text"]]
-            out = []
-            for d, found in s.candidates(texts).items():
-                for i in sorted(found):
-                    if m := _measure(texts[d], s.items[i], s.k):
-                        out.append((b["doc_id"].iloc[d], i, *m))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "tiles", "longest", "covered", "item_words"])
+    def measure(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        own = list(zip(theirs["item_id"].tolist(), [words(t) for t in theirs["item_text"]], strict=True))
+        out = []
+        for d, t in zip(mine["doc_id"].tolist(), mine["text"].tolist(), strict=True):
+            doc = words(t)
+            out += [(d, i, *m) for i, item in own if (m := _measure(doc, item, min_match))]
+        return pd.DataFrame(out, columns=["doc_id", "item_id", "tiles", "longest", "covered", "item_words"])
 
-    return spread(docs).mapInPandas(scan, SCHEMA)
+    return met.groupBy("_row").cogroup(with_item.groupBy("_row")).applyInPandas(measure, SCHEMA)
 
 
-def _seed_rows(rows: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, seed): each seed of a text once."""
+def _seed_rows(rows: DataFrame, key: str, text: str, k: int, known=None) -> DataFrame:
+    """(key, seed): each seed of a text once; only those that the filter may hold, if one is given."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for b in batches:
-            for i, t in zip(b[key].tolist(), b[text].tolist(), strict=True):
-                w = words(t)
-                own = {xxhash.xxh64_intdigest("\x1f".join(w[p : p + k])) - (1 << 63) for p in range(len(w) - k + 1)}
-                if own:
-                    yield pd.DataFrame({key: i, "seed": np.fromiter(own, np.int64, len(own))})
+            at, seed = seeds_of([words(t) for t in b[text]], k)
+            if known is not None:
+                ok = known.value.may_hold(seed)
+                at, seed = at[ok], seed[ok]
+            if len(seed):
+                yield pd.DataFrame({key: b[key].to_numpy()[at], "seed": seed.astype(np.int64)}).drop_duplicates()
 
     return rows.select(key, text).mapInPandas(emit, f"{key} bigint, seed bigint")
 
 
-def _joined(docs: DataFrame, its: DataFrame, k: int) -> DataFrame:
-    """The same pairs for item sets of any size. The rows of a document keep a number of their own,
-    so that repeated ids stay apart."""
-    numbered = spread(docs).withColumn("_row", F.xxhash64("doc_id", "text"))
-    of_docs = _seed_rows(numbered.select("_row", "text").distinct(), "_row", "text", k)
-    of_items = _seed_rows(its, "item_id", "item_text", k)
-    pairs = of_docs.join(of_items, "seed").select("_row", "item_id").distinct()
-    full = numbered.join(pairs, "_row").join(its, "item_id")
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for d, i, t, it in zip(b["doc_id"].tolist(), b["item_id"].tolist(), b["text"].tolist(), b["item_text"].tolist(), strict=True):
-                if m := _measure(words(t), words(it), k):
-                    out.append((d, i, *m))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "tiles", "longest", "covered", "item_words"])
-
-    return full.select("doc_id", "item_id", "text", "item_text").mapInPandas(measure, SCHEMA)
-
-
 def report_items(leaks: DataFrame, items: DataFrame, coverage: float = 0.5) -> DataFrame:
     """(item_id, n_docs, n_covering, longest, best_coverage): a row for each item, leaked or not.
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -42,7 +43,7 @@ def test_words():
     assert words(None) == words("") == words(" .,;") == []
 
 
-def test_found_both_ways(spark):
+def test_found_against_brute_force(spark):
     rnd = random.Random(2)
     vocab = [f"w{i}" for i in range(40)] + ["Ünï", "naïve"]
     items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(5, 60))), "clash") for i in range(25)]
@@ -62,8 +63,6 @@ def test_found_both_ways(spark):
     want = sorted((i, j) for i, x, _ in docs for j, y, _ in items if longest_run(words(x)[:4000], words(y)) >= k)
     small = leaks.find_leaks(d, t, min_match=k)
     assert sorted((r["doc_id"], r["item_id"]) for r in small.collect()) == want
-    large = leaks.find_leaks(d, t, min_match=k, broadcast_chars=0)
-    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
     report = leaks.report_items(small, t).collect()
     assert len(report) == 27 and {r["item_id"] for r in report if r["n_docs"]} == {j for _, j in want}
     assert leaks.find_leaks(d.limit(0), t).count() == leaks.find_leaks(d, t.limit(0)).count() == 0
@@ -73,3 +72,25 @@ def test_reordered_passages_are_covered():
     item = [str(i) for i in range(40)]
     doc = [*item[20:], "x", *item[:20]]
     assert sum(n for _, _, n in leaks.tile(doc, item, 8)) == 40
+
+
+def test_filter_holds_all_seeds(spark):
+    texts = [words(" ".join(str(i * j) for i in range(300))) for j in range(1, 40)]
+    at, seed = leaks.seeds_of(texts, 12)
+    assert len(seed) == sum(len(t) - 11 for t in texts) and sorted(set(at)) == list(range(39))
+    df = spark.createDataFrame([(int(x),) for x in seed.astype(np.int64)], "seed bigint")
+    f = leaks._filter(df)
+    assert f.may_hold(seed).all()
+    other = np.random.default_rng(1).integers(0, 2**63, 100_000).astype(np.uint64)
+    assert f.may_hold(other).mean() < 0.03
+    small = leaks.Filter(15, [(0, b"\x00" * 4096)])
+    assert not small.may_hold(seed).any()
+
+
+def test_hot_passages(spark):
+    """A passage that most documents hold, and one that none does."""
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = [(i, f"start {i} {item} end" if i % 4 else f"other text {i}") for i in range(2000)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = leaks.find_leaks(d, spark.createDataFrame([(1, item), (2, item.upper().replace(" ", ", ")), (3, "x " * 30)], "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["covered"]) for r in got) == sorted((i, j, 20) for i in range(2000) if i % 4 for j in (1, 2))
