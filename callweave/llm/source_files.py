@@ -52,8 +52,8 @@ VENDORED_NOTICE = (
 VERSION_MACRO = r"^\s*#\s*define\s+\w+_VERSION(?:_STRING)?\b"
 NUMBER_ROW = r"^[-+0-9a-fA-FxXuUlL.,{}\s]{16,}$"
 STRING_ROW = r'^\s*"[^"]{24,}"\s*[,;)}]*\s*$'
-#: Runs of digits, hexadecimal letters among them included: what tells the rows of a template apart.
-NUMBER = r"[0-9a-fA-F]*[0-9][0-9a-fA-F]*"
+#: Digits, hexadecimal ones among them: what tells the rows of a template apart.
+VARYING = "0123456789abcdefABCDEF"
 
 #: Upper ends of the bins of each feature; a value beyond the last one, or null, has a bin of its own.
 #: Those of word lists are named apart, so that they can be left out.
@@ -142,10 +142,11 @@ def naming(rows: DataFrame) -> DataFrame:
     parts = F.split(F.regexp_replace(F.regexp_replace("_s", r"^_+|_+$|\..*$", ""), r"([a-z0-9])([A-Z])", "$1_$2"), "_+")
     ends = F.array_distinct(F.array(F.lower(parts[0]), F.lower(F.element_at(parts, -1))))
     scoped = rows.where(F.col("_s").isNotNull() & ~F.col("_s").startswith("<") & (F.col("_s") != ""))
+    scoped = cut(scoped.groupBy("path", "_s").agg(F.count(F.lit(1)).alias("n")))
     words = cut(
-        scoped.select("path", F.explode(ends).alias("word"))
+        scoped.select("path", F.explode(ends).alias("word"), "n")
         .groupBy("path", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .withColumn("tree", F.substring_index("path", "/", 1))
     )
     by_tree = words.groupBy("tree", "word").agg(F.count(F.lit(1)).alias("here"))
@@ -155,7 +156,7 @@ def naming(rows: DataFrame) -> DataFrame:
         ((F.col("trees") >= 3) & (F.col("here") * 20 < F.col("all"))).alias("wide"),
     )
     told = salted_join(words.withColumn("_w", F.concat_ws("\n", "tree", "word")).select("_w", "path", "n"), kinds, "_w")
-    total = scoped.groupBy("path").agg(F.count(F.lit(1)).alias("_all"))
+    total = scoped.groupBy("path").agg(F.sum("n").alias("_all"))
     sums = told.groupBy("path").agg(F.sum(F.when(F.col("mine"), F.col("n")).otherwise(0)).alias("_own"), F.max(F.when(F.col("wide"), F.col("n")).otherwise(0)).alias("_top"))
     own = F.least(F.col("_own") / F.col("_all"), F.lit(1.0))
     return sums.join(total, "path").select("path", own.alias("own"), F.when(own < 0.3, F.col("_top") / F.col("_all")).otherwise(0.0).alias("foreign"))
@@ -171,11 +172,11 @@ def file_features(rows: list[DataFrame], word_lists: bool = True) -> DataFrame:
     all_rows = _all_rows(rows)
     lead, c = F.substring("_c", 1, 1), F.col("_c")
     length = F.length(c)
-    without = lambda pattern: length - F.length(F.regexp_replace(c, pattern, ""))
+    digits = length - F.length(F.translate(c, "0123456789", ""))
     blank = length - F.length(F.replace(c, F.lit(" ")))
     dense = (length > 250) & (blank < 0.1 * length)
     data = F.when(lead.rlike(r'[-+0-9.{"]'), c.rlike(NUMBER_ROW) | c.rlike(STRING_ROW)).otherwise(False)
-    numbered = c.rlike("[0-9]") & ~data
+    numbered = (digits > 0) & ~data
     count, share = F.count_if, lambda x: F.col(x) / F.col("n")
     found = (
         all_rows.groupBy("path")
@@ -187,11 +188,11 @@ def file_features(rows: list[DataFrame], word_lists: bool = True) -> DataFrame:
             count(data).alias("_data"),
             count(dense & ~data).alias("_dense"),
             count(numbered).alias("_numbered"),
-            F.approx_count_distinct(F.when(numbered, F.regexp_replace(c, NUMBER, "0")), 0.1).alias("_templates"),
+            F.approx_count_distinct(F.when(numbered, F.translate(c, VARYING, "")), 0.1).alias("_templates"),
             count(lead.isin("/", "*")).alias("_comments"),
             F.sum(length).alias("_length"),
             F.sum(blank).alias("_blanks"),
-            F.sum(without("[0-9]")).alias("_digits"),
+            F.sum(digits).alias("_digits"),
         )
         .join(naming(all_rows).withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left")
     )
@@ -298,16 +299,16 @@ def _pass(files: DataFrame, names: list[str], model: Model, word_lists: bool) ->
     for d in done[1:]:
         dirs = dirs.unionByName(d)
     above = dirs.select(F.col("dir").alias("_up"), F.col("full").alias("_a"))
-    fam = cut(_down(families.withColumn("_up", F.col("dir")), above, model.edges["family"]))
+    fam = cut(_down(families.withColumn("_up", F.col("dir")), above, model.edges["family"], few=True))
     above = fam.select(F.concat_ws("\n", "dir", "family").alias("_up"), F.col("full").alias("_a"))
     leaves = cut(_down(up.withColumn("_up", F.concat_ws("\n", "dir", "family")), above, model.edges["file"]))
     return {"file": leaves, "family": fam, "dir": dirs}
 
 
-def _down(child: DataFrame, above: DataFrame, edge: list[list[float]]) -> DataFrame:
+def _down(child: DataFrame, above: DataFrame, edge: list[list[float]], few: bool = False) -> DataFrame:
     """The child rows with full and joint: what all but the child say of the node above is its belief less
-    the child's message. A node above that very many children share is salted."""
-    j = salted_join(child, above, "_up")
+    the child's message. A node above that very many children share is salted, unless it has but a few."""
+    j = child.join(above, "_up") if few else salted_join(child, above, "_up")
     j = _once(j, _r=F.zip_with("_a", "m", lambda x, y: x - y))
     j = _message(j, "_r", "_d", edge, False)
     j = _once(j, full=_add(F.col("b"), F.col("_d")))
