@@ -62,23 +62,26 @@ def _encode_char(ch: str, charset: str) -> bytes | None:
     return b if len(b) == 1 else None
 
 
+_BYTES = {w: {ch: b for ch in map(chr, _SEEN) if (b := _encode_char(ch, w))} for w, _SEEN in ((w, sorted({*range(0x80, 0xA0), *(ord(c) for c in bytes(range(256)).decode(w, "ignore"))})) for w in WRONG)}
+_TWO = regex.compile("[^\x00-\x7f]{2}")
+
+
 def undo_utf8(token: str, wrong: str) -> str | None:
     """The token with its runs that are UTF-8 read as another set put right; null if there are none."""
-    raw, at = bytearray(), []
-    for ch in token:
-        b = _encode_char(ch, wrong)
-        raw += b if b else b"\x00"  # breaks any sequence
-        at.append(ch)
+    if not _TWO.search(token):
+        return None  # a sequence has at least two bytes beyond ASCII
+    known = _BYTES[wrong]
+    raw = b"".join([known.get(ch, b"\x00") for ch in token])  # what the set doesn't hold breaks any sequence
     out, last = [], 0
-    for m in _MULTIBYTE.finditer(bytes(raw)):
+    for m in _MULTIBYTE.finditer(raw):
         try:
             fixed = m.group().decode("utf-8")
         except UnicodeDecodeError:
             continue
-        out += at[last : m.start()]
+        out.append(token[last : m.start()])
         out.append(fixed)
         last = m.end()
-    return "".join(out + at[last:]) if last else None
+    return "".join([*out, token[last:]]) if last else None
 
 
 def undo_legacy(token: str, wrong: str, right: str) -> str | None:
@@ -115,36 +118,49 @@ def apply_chain(token: str, chain: tuple[str, str]) -> str | None:
     return undo_utf8(token, chain[0]) if chain[1] == "utf-8" else undo_legacy(token, *chain)
 
 
+def tokens_of(text: str) -> list[str]:
+    """What stands between blanks and line ends."""
+    return [t for t in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t]
+
+
 def structurally_clean(text: str) -> bool:
     """No lost or control characters, no odd words, and for no set are most of the tokens beyond ASCII, as wholes,
     UTF-8 read as that set. (A few words of other scripts decode by chance.)"""
     if text.isascii():
         return True
-    if LOST in text or _C1.search(text) or _ODD.search(text) or len(_CAPITALS.findall(text)) >= 3:
+    if LOST in text or _C1.search(text) or len(_CAPITALS.findall(text)) >= 3:
         return False
     decoded, n = [0] * len(WRONG), 0
-    for t in _TOKENS.findall(text):
+    for t in tokens_of(text):
         if not t.isascii():
             n += 1
-            for i in _decoding_sets(t) if len(t) <= 200 else _decoding_sets.__wrapped__(t):
+            odd, sets = _signs(t) if len(t) <= 200 else _signs.__wrapped__(t)
+            if odd:
+                return False
+            for i in sets:
                 decoded[i] += 1
     return max(decoded) * 2 <= n
 
 
 @functools.lru_cache(maxsize=200_000)
-def _decoding_sets(token: str) -> tuple[int, ...]:
-    """Places in WRONG of the sets as which the whole token could be UTF-8 read wrongly."""
+def _signs(token: str) -> tuple[bool, tuple[int, ...]]:
+    """Whether a token is odd, and places in WRONG of the sets as which the whole token could be UTF-8 read wrongly."""
     out = []
-    for i, w in enumerate(WRONG):
+    for i, w in enumerate(WRONG if _TWO.search(token) else ()):
         try:
             token.encode(w).decode("utf-8")
             out.append(i)
         except UnicodeError:
             pass
-    return tuple(out)
+    return _ODD.search(token) is not None, tuple(out)
+
+
+_FOLDED = bytes.maketrans(b"\t\n\r123456789" + bytes(range(65, 91)), b"   000000000" + bytes(range(97, 123)))
 
 
-_FOLD = {9: 32, 10: 32, 13: 32} | {i: ord("0") for i in range(ord("0"), ord("9") + 1)} | {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
+def fold(text: str) -> str:
+    """Letters A-Z in lower case, digits as 0, line ends as blanks; all else as it is."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLDED).decode("utf-8", "surrogatepass")
 
 
 def _grams(points: np.ndarray, n: int) -> np.ndarray:
@@ -180,7 +196,7 @@ class CharModel:
 
     def score(self, token: str) -> float:
         """Log likelihood of a token between blanks."""
-        t = f"  {token.translate(_FOLD)} "
+        t = f"  {fold(token)} "
         return sum(self._log(t[i : i + 3]) for i in range(len(t) - 2))
 
     def unseen(self, token: str) -> int:
@@ -200,7 +216,7 @@ def count_clean(texts: DataFrame) -> DataFrame:
                 if not structurally_clean(t):
                     continue
                 n += 1
-                parts = t.translate(_FOLD).split(" ")
+                parts = fold(t).split(" ")
                 tokens.update(parts)
                 if not t.isascii():
                     beyond += 1
@@ -245,7 +261,7 @@ _SIGNS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
 def _core(token: str) -> str:
     """The token folded as for the model, without ASCII signs around."""
-    return token.translate(_FOLD).strip(_SIGNS)
+    return fold(token).strip(_SIGNS)
 
 
 def _shape(core: str) -> str:
@@ -316,7 +332,7 @@ class Judge:
         """[gain, proofs, longest word, chain] of the best chain to UTF-8 and of the best single-byte one: the
         one with most proofs, then the highest gain."""
         sums: dict[tuple[str, str], list] = {}
-        for t in _TOKENS.findall(text):
+        for t in tokens_of(text):
             if not t.isascii():
                 for chain, _, gain, proven in self.token(t):
                     s = sums.setdefault(chain, [0.0, 0, 0])
@@ -345,7 +361,7 @@ class Judge:
     def _fix(self, text: str, chain: tuple[str, str], gain: float) -> str:
         """All tokens the chain improves; of a single-byte chain also those it can decode, if most
         of the text's tokens beyond ASCII gain by it. Below the margin the proven tokens only."""
-        tokens = [t for t in _TOKENS.findall(text) if not t.isascii()]
+        tokens = [t for t in tokens_of(text) if not t.isascii()]
         whole = chain[1] == "utf-8" or gain > self.margins.single
         better = {t: f for t in tokens for c, f, _, proven in self.token(t) if c == chain and (whole or proven)}
         if chain[1] != "utf-8" and sum(t in better for t in tokens) * 2 > len(tokens):

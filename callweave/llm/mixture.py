@@ -67,18 +67,26 @@ def water_fill(sizes: dict[str, int], shares: dict[str, float], caps: dict[str,
     return got
 
 
+def largest_even_total(sizes: dict[str, int], shares: dict[str, float], caps: dict[str, int]) -> float:
+    """The largest size at which all sources that have any tokens get their shares, in proportion to one
+    another, without passing a cap. 0 if there is none."""
+    have = [s for s in shares if shares[s] > 0 and sizes.get(s, 0) * max(caps[s], 0) > 0]
+    return min((sizes[s] * caps[s] / shares[s] for s in have), default=0.0) * sum(shares[s] for s in have)
+
+
 def normal_source(source: Column) -> Column:
     """Source labels without blanks around them, in lower case."""
     return F.lower(F.trim(source))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, ranks: str | None = None, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, seed: int = 0, ranks: str | None = None, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen, report).
 
     chosen: (doc_id, source, n_tokens, repeats) of every document taken at least once. report:
     (source, target_share, max_repeats, available_tokens, epochs, mixture_tokens, actual_share) with
     a row for each target. total_tokens is the wanted size, by default all tokens of the target
-    sources. Documents with a null source, or one without a target, aren't taken. The part of a
+    sources, at which small sources stay at their cap and below their share; "even" takes the largest
+    size at which none does. Documents with a null source, or one without a target, aren't taken. The part of a
     source that is taken once more is set by a hash of doc_id and seed; the cut lies where the
     counted tokens come nearest, in 1/65536 of the source. Targets must be few enough to plan on the
     driver; documents stay on the executors. Rows that repeat a doc_id are taken alike.
@@ -91,8 +99,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         .where(F.col("source").isin(*plan) if plan else F.lit(False))
     )
     sizes = {r[0]: r[1] for r in sized.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    total = sum(sizes.values()) if total_tokens is None else total_tokens
-    got = water_fill(sizes, {s: float(r["target_share"] or 0) for s, r in plan.items()}, {s: int(r["max_repeats"] or 0) for s, r in plan.items()}, total)
+    shares, caps = {s: float(r["target_share"] or 0) for s, r in plan.items()}, {s: int(r["max_repeats"] or 0) for s, r in plan.items()}
+    total = sum(sizes.values()) if total_tokens is None else largest_even_total(sizes, shares, caps) if total_tokens == "even" else total_tokens
+    got = water_fill(sizes, shares, caps, total)
     epochs = {s: got[s] / sizes[s] if sizes.get(s) else 0.0 for s in plan}
     rows = [(s, int(epochs[s]), (epochs[s] - int(epochs[s])) * sizes.get(s, 0)) for s in plan]
     spark = documents.sparkSession

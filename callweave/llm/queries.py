@@ -40,6 +40,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_even_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares at the largest size at which every source gets its own."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "even")[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.find_garbled(table(spark, d, "documents")).select("doc_id")
 
@@ -49,7 +54,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p6_found, p6_items, p7_mixture, p7_shares, p7_even_shares, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

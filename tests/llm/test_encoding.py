@@ -133,7 +133,7 @@ def test_counts_equal_a_plain_count(spark):
     model = E.train(counted)
     want = {1: {}, 2: {}, 3: {}}
     for t in texts:
-        for w in t.translate(E._FOLD).split(" ") if E.LOST not in t else ():
+        for w in E.fold(t).split(" ") if E.LOST not in t else ():
             for k in (1, 2, 3):
                 for i in range(len(w) + 3 - k + 1) if w else ():
                     g = 0
@@ -168,3 +168,8 @@ def test_many_rounds():
     judge = E.Judge(E.CharModel(counts), {}, E.Margins(utf8=0.0))
     fixed, taken, _ = judge.restore(bad)
     assert fixed == text and len(taken.split()) == 6
+
+
+def test_fold_and_tokens():
+    assert E.fold("ÄbC\t19\r\n É\ud800") == "Äbc 00   É\ud800"
+    assert E.tokens_of(" a\xa0b\n\nc\t\rd ") == ["a\xa0b", "c", "d"] and E.tokens_of("") == []

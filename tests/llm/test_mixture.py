@@ -30,6 +30,15 @@ def test_mix(spark):
     assert M.mix(d.limit(0), t)[0].count() == 0 and M.mix(d, t.limit(0))[0].count() == 0
 
 
+def test_even_total(spark):
+    assert M.largest_even_total({"a": 100, "b": 50, "c": 0}, {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 1, "b": 3, "c": 9}) == pytest.approx(150)
+    assert M.largest_even_total({}, {"a": 1.0}, {"a": 1}) == 0
+    d = spark.createDataFrame([(i, "word " * 20, "big" if i % 20 else "small") for i in range(3000)], "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    r = {x["source"]: x for x in M.mix(d, t, "even")[1].collect()}
+    assert r["small"]["epochs"] == 2.0 and r["big"]["actual_share"] == pytest.approx(0.5, abs=0.01)
+
+
 def test_tokens(spark):
     d = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "id int, text string")
     n = {r["id"]: r["n_tokens"] for r in M.count_tokens(d).collect()}
