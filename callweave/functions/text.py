@@ -65,6 +65,35 @@ def all_callees(context: Column) -> Column:
     return F.coalesce(F.filter(found, lambda x: ~F.lower(x).isin(*KEYWORDS)), F.array().cast("array<string>"))
 
 
+# What lines that define something look like, with {0} for an identifier. The first rule that
+# fits gives kind and name. Of the loose grammar, a typedef line is looked through from its beginning.
+LOOSE_RULES = (
+    ("macro", r"\A#define\s+({0})"),
+    ("typedef", r"typedef\s+(?:struct|union|enum)\s+({0})\s*\{{"),
+    ("typedef", r"({0})\s*;"),
+    ("struct", r"\Astruct\s+({0})\s*\{{"),
+    ("union", r"\Aunion\s+({0})\s*\{{"),
+    ("enum", r"\Aenum\s+({0})\s*\{{"),
+)
+STRICT_RULES = (
+    ("macro", r"\A\s*#define\s+({0})"),
+    ("typedef", r"\A\s*typedef\s+(?:struct\s+|union\s+|enum\s+)?({0})\s*[{{;]"),
+    ("struct", r"\A\s*struct\s+({0})\s*\{{"),
+    ("union", r"\A\s*union\s+({0})\s*\{{"),
+    ("enum", r"\A\s*enum\s+({0})\s*\{{"),
+)
+
+
+def _named(text: Column, rules: tuple[tuple[str, str], ...], identifier: str) -> list[tuple[Column, str]]:
+    """(name or null, kind) by each rule."""
+    return [(F.nullif(F.regexp_extract(text, rule.format(identifier), 1), F.lit("")), kind) for kind, rule in rules]
+
+
+def _first(named: list[tuple[Column, str]]) -> Column:
+    """struct(name, kind) of the first that isn't null."""
+    return F.coalesce(*[F.when(name.isNotNull(), F.struct(name.alias("name"), F.lit(kind).alias("kind"))) for name, kind in named])
+
+
 def symbol_in_context(context: Column) -> Column:
     """struct(name, kind) of what a line defines, null if nothing.
 
@@ -72,19 +101,9 @@ def symbol_in_context(context: Column) -> Column:
     before a parenthesis unless it is a keyword.
     """
     c = F.regexp_replace(context, r"\A\s+|\s+\z", "")
-    pick = lambda pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
-    macro = pick(rf"\A#define\s+({IDENTIFIER})")
-    typedef = F.when(
-        c.startswith("typedef"),
-        F.coalesce(pick(rf"typedef\s+(?:struct|union|enum)\s+({IDENTIFIER})\s*\{{"), pick(rf"({IDENTIFIER})\s*;")),
-    )
-    tags = {k: pick(rf"\A{k}\s+({IDENTIFIER})\s*\{{") for k in ("struct", "union", "enum")}
-    function = F.try_element_at(F.regexp_extract_all(c, F.lit(rf"({IDENTIFIER})\s*\("), 1), F.lit(-1))
-    out = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("kind"))
-    chain = F.when(macro.isNotNull(), out(macro, "macro")).when(typedef.isNotNull(), out(typedef, "typedef"))
-    for k, name in tags.items():
-        chain = chain.when(name.isNotNull(), out(name, k))
-    return chain.when(function.isNotNull() & ~F.lower(function).isin(*KEYWORDS), out(function, "function"))
+    named = [(F.when(c.startswith("typedef"), name) if kind == "typedef" else name, kind) for name, kind in _named(c, LOOSE_RULES, IDENTIFIER)]
+    last = F.try_element_at(F.regexp_extract_all(c, F.lit(rf"({IDENTIFIER})\s*\("), 1), F.lit(-1))
+    return _first([*named, (F.when(~F.lower(last).isin(*KEYWORDS), last), "function")])
 
 
 def global_definition(context: Column, identifier: str = IDENTIFIER) -> Column:
@@ -93,20 +112,7 @@ def global_definition(context: Column, identifier: str = IDENTIFIER) -> Column:
     typedef needs a name right before a brace or semicolon: typedefs of several words aren't found.
     identifier may be UNICODE_IDENTIFIER.
     """
-    pick = lambda pattern: F.nullif(F.regexp_extract(context, rf"\A\s*{pattern}", 1), F.lit(""))
-    rules = (
-        ("macro", rf"#define\s+({identifier})"),
-        ("typedef", rf"typedef\s+(?:struct\s+|union\s+|enum\s+)?({identifier})\s*[{{;]"),
-        ("struct", rf"struct\s+({identifier})\s*\{{"),
-        ("union", rf"union\s+({identifier})\s*\{{"),
-        ("enum", rf"enum\s+({identifier})\s*\{{"),
-    )
-    chain = None
-    for kind, pattern in rules:
-        name = pick(pattern)
-        value = F.struct(name.alias("name"), F.lit(kind).alias("kind"))
-        chain = F.when(name.isNotNull(), value) if chain is None else chain.when(name.isNotNull(), value)
-    return chain
+    return _first(_named(context, STRICT_RULES, identifier))
 
 
 def included_file(context: Column) -> Column:
