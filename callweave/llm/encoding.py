@@ -414,7 +414,7 @@ def _doubtful(texts: DataFrame, trained, run: str) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["key", "text", "clean", "proven", "utf8", "single"])
 
-    return cut(texts.mapInPandas(weigh, "key bigint, text string, clean boolean, proven boolean, utf8 double, single double"))
+    return cut(texts.mapInPandas(weigh, "key string, text string, clean boolean, proven boolean, utf8 double, single double"))
 
 
 def _margins(doubtful: DataFrame, n_clean: int) -> Margins:
@@ -448,9 +448,9 @@ def find_garbled(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Garbled is a text that a chain improves beyond its margin or by a proven word, or that holds U+FFFD or
     a C1 control other than NEL. restored is the text after all accepted chains; complete tells that no
     such character is left in it. chain is empty where none was accepted. Null and empty texts are not
-    garbled; repeated rows come repeatedly; an empty table gives no rows.
+    garbled; repeated rows come repeatedly, null keys stay; an empty table gives no rows.
     """
-    texts = spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0))
+    texts = spread(rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where(F.length("text") > 0))
     ascii_only = F.col("text").rlike(r"^[\x00-\x7f]*$")
     beyond = texts.where(~ascii_only)
     counted = count_clean(texts.where(ascii_only).select("text").unionByName(beyond.select("text").distinct()))  # copies count once
@@ -473,4 +473,6 @@ def find_garbled(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             if out:
                 yield pd.DataFrame(out, columns=["key", "chain", "gain", "restored", "complete"])
 
-    return doubtful.select("key", "text").mapInPandas(scan, "key bigint, chain string, gain double, restored string, complete boolean").withColumnRenamed("key", key)
+    return doubtful.select("key", "text").mapInPandas(scan, "key string, chain string, gain double, restored string, complete boolean").select(
+        F.col("key").cast("bigint").alias(key), "chain", "gain", "restored", "complete"
+    )

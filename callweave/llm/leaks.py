@@ -6,7 +6,7 @@ a whole batch; a Bloom filter of the item seeds, of bounded size, lets only thos
 likely to have. The few that are left meet the items in a join, in which seeds that very many documents
 share are salted. Where a document shares one with an item, running Karp-Rabin greedy string tiling
 marks the longest matches first, none of which overlap, so that passages in another order are covered
-too. Of the texts only those of documents with a seed are shuffled, once each.
+too. Documents are read once; only the texts of those with a likely seed are kept and shuffled, once each.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from callweave.llm.text import spread, words
 from callweave.operators.skew import salted_join
 from callweave.runtime import cut
 
-SCHEMA = "doc_id bigint, item_id bigint, tiles int, longest int, covered int, item_words int"
+# Ids travel as text, so that a null among them doesn't turn the others into floating-point numbers.
+SCHEMA = "doc_id string, item_id string, tiles int, longest int, covered int, item_words int"
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier, arithmetic modulo 2^64
 #: Bytes of a piece of the filter, as the built-in bitmaps have them, and the most bits of it (64 MB).
 PIECE, MAX_BITS = 4096, 29
@@ -131,13 +132,14 @@ def seeds_of(texts: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[:n][whole], value[whole]
 
 
-def _places(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of each seed in a filter of 2^bits bits."""
-    return seed >> np.uint64(64 - bits), (seed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+def _places(seed: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The four places of each seed in a filter of 2^bits bits."""
+    odd = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+    return [(seed * np.uint64(m)) >> np.uint64(64 - bits) for m in odd]
 
 
 class Filter:
-    """A Bloom filter of two places a seed, at most 2^MAX_BITS bits."""
+    """A Bloom filter of four places a seed and at most 2^MAX_BITS bits."""
 
     def __init__(self, bits: int, pieces: list[tuple[int, bytes]]):
         self.bits, self.bytes = bits, np.zeros(max(1 << (bits - 3), PIECE), np.uint8)
@@ -155,7 +157,7 @@ def _filter(of_items: DataFrame) -> Filter:
     """The filter of all item seeds, put together on the executors in pieces of 4 KB. Of more seeds than it
     is made for it lets more by, and no result changes."""
     n = of_items.count()
-    bits = min(MAX_BITS, max(15, math.ceil(math.log2(max(n, 1) * 16))))
+    bits = min(MAX_BITS, max(15, math.ceil(math.log2(max(n, 1) * 64))))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -188,42 +190,50 @@ def find_leaks(
 
     tiles counts the marked matches, longest and covered count words of the item. Null and empty
     texts, and texts of fewer than min_match words, share nothing. Rows of documents that come twice
-    give their pairs twice; an item id must be unique.
+    give their pairs twice, and a null doc_id stays; an item id must be unique, items without one are left out.
     """
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    its = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).where(F.length("item_text") > 0)
+    docs = documents.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    its = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("item_text")).where(F.length("item_text") > 0)
     of_items = cut(_seed_rows(its, "item_id", "item_text", min_match))
     known = docs.sparkSession.sparkContext.broadcast(_filter(of_items))
-    numbered = spread(docs).withColumn("_row", F.xxhash64("doc_id", "text"))
-    of_docs = _seed_rows(numbered.select("_row", "text"), "_row", "text", min_match, known)
-    pairs = cut(salted_join(cut(of_docs), of_items, "seed").select("_row", "item_id").distinct())
-    with_item = salted_join(pairs, its, "item_id")
-    met = numbered.join(pairs.select("_row").distinct(), "_row", "left_semi")
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at, seed = seeds_of([words(t) for t in b["text"]], min_match)
+            ok = known.value.may_hold(seed)
+            if ok.any():
+                at, seed = at[ok], seed[ok].astype(np.int64)
+                own = np.unique(at)
+                cuts = np.searchsorted(at, own[1:])
+                yield b.iloc[own].assign(seeds=[np.unique(x) for x in np.split(seed, cuts)])
+
+    some = cut(spread(docs).mapInPandas(likely, "doc_id string, text string, seeds array<bigint>")).withColumn("_row", F.monotonically_increasing_id())
+    pairs = salted_join(some.select("_row", F.explode("seeds").alias("seed")), of_items, "seed").select("_row", "item_id").distinct()
+    with_item = salted_join(cut(pairs), its, "item_id")
 
     def measure(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        own = list(zip(theirs["item_id"].tolist(), [words(t) for t in theirs["item_text"]], strict=True))
         out = []
-        for d, t in zip(mine["doc_id"].tolist(), mine["text"].tolist(), strict=True):
-            doc = words(t)
-            out += [(d, i, *m) for i, item in own if (m := _measure(doc, item, min_match))]
+        if len(mine) and len(theirs):
+            doc, d = words(mine["text"].iloc[0]), mine["doc_id"].iloc[0]
+            for i, t in zip(theirs["item_id"].tolist(), theirs["item_text"].tolist(), strict=True):
+                if m := _measure(doc, words(t), min_match):
+                    out.append((d, i, *m))
         return pd.DataFrame(out, columns=["doc_id", "item_id", "tiles", "longest", "covered", "item_words"])
 
-    return met.groupBy("_row").cogroup(with_item.groupBy("_row")).applyInPandas(measure, SCHEMA)
+    found = some.select("_row", "doc_id", "text").groupBy("_row").cogroup(with_item.groupBy("_row")).applyInPandas(measure, SCHEMA)
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("doc_id", "item_id")})
 
 
-def _seed_rows(rows: DataFrame, key: str, text: str, k: int, known=None) -> DataFrame:
-    """(key, seed): each seed of a text once; only those that the filter may hold, if one is given."""
+def _seed_rows(rows: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(key, seed): each seed of a text once."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, seed = seeds_of([words(t) for t in b[text]], k)
-            if known is not None:
-                ok = known.value.may_hold(seed)
-                at, seed = at[ok], seed[ok]
             if len(seed):
                 yield pd.DataFrame({key: b[key].to_numpy()[at], "seed": seed.astype(np.int64)}).drop_duplicates()
 
-    return rows.select(key, text).mapInPandas(emit, f"{key} bigint, seed bigint")
+    return rows.select(key, text).mapInPandas(emit, f"{key} string, seed bigint")
 
 
 def report_items(leaks: DataFrame, items: DataFrame, coverage: float = 0.5) -> DataFrame:

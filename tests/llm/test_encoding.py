@@ -43,10 +43,11 @@ def test_found_and_restored(spark):
     twice = spoil(spoil(CLEAN["es"], "latin-1", "utf-8"), "latin-1", "utf-8")
     spoiled[2100] = (twice, CLEAN["es"])
     spoiled[2101] = ("a plain text and then the cafÃ© at last", "a plain text and then the café at last")
-    rows += [(k, v[0]) for k, v in spoiled.items()] + [(3000, "lost ca� here"), (3001, None), (3002, ""), (3003, "x" * 200_000 + " é"), (2101, spoiled[2101][0])]
+    rows += [(k, v[0]) for k, v in spoiled.items()] + [(2**62 + 1, spoiled[2101][0]), (None, spoiled[2101][0]), (3000, "lost ca� here"), (3001, None), (3002, ""), (3003, "x" * 200_000 + " é"), (2101, spoiled[2101][0])]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id bigint, text string, chain string")
     got = E.find_garbled(df).collect()
-    assert sorted(r["doc_id"] for r in got) == sorted([*spoiled, 2101, 3000])
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, [*spoiled, 2101, 3000, 2**62 + 1, None]))
+    spoiled |= {2**62 + 1: spoiled[2101], None: spoiled[2101]}
     for r in got:
         if r["doc_id"] in spoiled:
             assert r["restored"] == spoiled[r["doc_id"]][1] and r["complete"]

@@ -56,15 +56,15 @@ def test_found_against_brute_force(spark):
             at = rnd.randrange(len(w) + 1)
             w[at:at] = src[a : a + rnd.randrange(4, 40)]
         docs.append((i, rnd.choice([" ", ", ", "\n"]).join(x.upper() if rnd.random() < 0.3 else x for x in w), 7))
-    docs += [docs[0], (900, None, 7), (901, "", 7), (902, (items[3][1] + " ") * 400, 7)]
+    docs += [docs[0], (None, docs[0][1], 7), (2**62 + 1, docs[3][1], 7), (900, None, 7), (901, "", 7), (902, (items[3][1] + " ") * 400, 7)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, item_id int")
-    t = spark.createDataFrame([*items, (90, None, "c"), (91, "", "c")], "item_id bigint, text string, doc_id string")
+    t = spark.createDataFrame([*items, (90, None, "c"), (91, "", "c"), (None, items[0][1], "c")], "item_id bigint, text string, doc_id string")
     k = 6
-    want = sorted((i, j) for i, x, _ in docs for j, y, _ in items if longest_run(words(x)[:4000], words(y)) >= k)
+    want = sorted(((i, j) for i, x, _ in docs for j, y, _ in items if longest_run(words(x)[:4000], words(y)) >= k), key=repr)
     small = leaks.find_leaks(d, t, min_match=k)
-    assert sorted((r["doc_id"], r["item_id"]) for r in small.collect()) == want
+    assert sorted(((r["doc_id"], r["item_id"]) for r in small.collect()), key=repr) == want
     report = leaks.report_items(small, t).collect()
-    assert len(report) == 27 and {r["item_id"] for r in report if r["n_docs"]} == {j for _, j in want}
+    assert len(report) == 28 and {r["item_id"] for r in report if r["n_docs"]} == {j for _, j in want}
     assert leaks.find_leaks(d.limit(0), t).count() == leaks.find_leaks(d, t.limit(0)).count() == 0
 
 
@@ -82,7 +82,7 @@ def test_filter_holds_all_seeds(spark):
     f = leaks._filter(df)
     assert f.may_hold(seed).all()
     other = np.random.default_rng(1).integers(0, 2**63, 100_000).astype(np.uint64)
-    assert f.may_hold(other).mean() < 0.03
+    assert f.may_hold(other).mean() < 0.001
     small = leaks.Filter(15, [(0, b"\x00" * 4096)])
     assert not small.may_hold(seed).any()
 
