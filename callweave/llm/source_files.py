@@ -134,7 +134,7 @@ def _all_rows(rows: list[DataFrame]) -> DataFrame:
 
 def naming(rows: DataFrame) -> DataFrame:
     """(path, own, foreign) of files that have scopes: shares of the rows whose scope begins or ends with a
-    word that is used in the file's tree alone, and in several trees but in no other file of the directory.
+    word that is used in the file's tree alone, and by a word that at least half of the files with it have in other trees.
 
     A tree is what lies below one top folder. A word belongs to a tree if at least half of all files with
     it, and three or more, lie in it.
@@ -153,7 +153,7 @@ def naming(rows: DataFrame) -> DataFrame:
     every = by_tree.groupBy("word").agg(F.sum("here").alias("all"), F.count(F.lit(1)).alias("trees"))
     kinds = by_tree.join(every, "word").select(
         F.concat_ws("\n", "tree", "word").alias("_w"), ((F.col("here") >= 3) & (F.col("here") * 2 >= F.col("all"))).alias("mine"),
-        ((F.col("trees") >= 3) & (F.col("here") * 20 < F.col("all"))).alias("wide"),
+        ((F.col("trees") >= 2) & (F.col("here") * 2 <= F.col("all"))).alias("wide"),
     )
     told = salted_join(words.withColumn("_w", F.concat_ws("\n", "tree", "word")).select("_w", "path", "n"), kinds, "_w")
     total = scoped.groupBy("path").agg(F.sum("n").alias("_all"))
