@@ -220,7 +220,10 @@ def find_leaks(
                     out.append((d, i, *m))
         return pd.DataFrame(out, columns=["doc_id", "item_id", "tiles", "longest", "covered", "item_words"])
 
-    found = some.select("_row", "doc_id", "text").groupBy("_row").cogroup(with_item.groupBy("_row")).applyInPandas(measure, SCHEMA)
+    # tiling takes time rather than bytes: a stated number of partitions isn't put together again
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine, theirs = some.select("_row", "doc_id", "text").repartition(parts, "_row"), with_item.repartition(parts, "_row")
+    found = mine.groupBy("_row").cogroup(theirs.groupBy("_row")).applyInPandas(measure, SCHEMA)
     return found.withColumns({c: F.col(c).cast("bigint") for c in ("doc_id", "item_id")})
 
 
