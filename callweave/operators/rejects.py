@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.operators.skew import salted_join
-from callweave.runtime import cut
+from callweave.operators.skew import checked_join
+from callweave.runtime import cut, cut_counting
 
 # The file name endings of a source file, in any letter case.
 SOURCE_ENDINGS = (".c", ".h", ".cpp", ".hpp", ".cc", ".hh")
@@ -109,7 +109,7 @@ def parse_with_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
     fields. Null raw is rejected. Of several faults, structural ones come first, then the file, then
     the line number. Other columns of the input are left out; an empty input gives no rows. Lines are
     parsed once and kept; rows that fail by structure take no part in the joins with the dictionary,
-    and values that most rows have are salted in them.
+    which is broadcast only up to a counted size; beyond it, values that most rows have are salted.
     """
     return _resolved(cut(_split(rows, key, raw)), key)
 
@@ -122,10 +122,12 @@ def reject_reasons(rows: DataFrame, key: str, raw: str) -> DataFrame:
 
 def _resolved(parsed: DataFrame, key: str) -> DataFrame:
     whole = parsed.where(F.col("_why").isNull()).drop("_why")
-    words = cut(value_dictionary(whole))
+    cost = F.octet_length("value") + 64  # bytes, with what a row takes besides
+    each = {c: F.coalesce(F.sum(F.when(F.col("col") == c, cost)), F.lit(0)) for c in ("file", "line")}
+    words, size = cut_counting(value_dictionary(whole), **each)
     files = words.where(F.col("col") == "file").select(F.col("value").alias("_file"), F.col("reason").alias("_bad_file"))
     numbers = words.where(F.col("col") == "line").select(F.col("value").alias("_line"), "number", F.col("reason").alias("_bad_line"))
-    joined = salted_join(salted_join(whole, files, "_file"), numbers, "_line")
+    joined = checked_join(checked_join(whole, files, "_file", size["file"]), numbers, "_line", size["line"])
     why = F.coalesce("_bad_file", "_bad_line")
     typed = {"file": F.col("_file"), "symbol": F.col("_symbol"), "line": F.col("number"), "context": F.col("_context")}
     valued = joined.select(F.col("_key").alias(key), why.alias("reason"), *[F.when(why.isNull(), c).alias(n) for n, c in typed.items()])

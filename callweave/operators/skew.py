@@ -75,6 +75,16 @@ def salted_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner",
     return mine.drop("_hot", "_parts").join(theirs.drop("_hot", "_parts"), [key, "_salt"], how).drop("_salt")
 
 
+#: Up to so many bytes a table may be sent to every executor.
+BROADCAST_BYTES = 8 << 20
+
+
+def checked_join(rows: DataFrame, other: DataFrame, key: str, size: int, how: str = "inner") -> DataFrame:
+    """rows joined with other, whose size in bytes was counted: broadcast if it is at most BROADCAST_BYTES,
+    else by salted_join, with the same result."""
+    return rows.join(F.broadcast(other), key, how) if size <= BROADCAST_BYTES else salted_join(rows, other, key, how)
+
+
 def per_key(
     rows: DataFrame,
     key: str,

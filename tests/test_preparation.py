@@ -82,6 +82,16 @@ def test_rejects_against_brute_force(spark, lines):
             assert [got[i]["file"], got[i]["symbol"], got[i]["line"], got[i]["context"]] == [want[0], want[1], int(want[2]), want[3]]
 
 
+def test_rejects_with_a_large_dictionary(spark, monkeypatch):
+    """Beyond the size for a broadcast the result is the same."""
+    lines = [f"d/hot.c\tf\t{i % 7}\tx" for i in range(300)] + [f"{i}.txt\tf\t{i}\tx" for i in range(50)] + ["a.c\tf\tq\tx", None, "z"]
+    df = spark.createDataFrame(list(enumerate(lines)), "raw_id bigint, raw string").repartition(3)
+    want = rows(R.parse_with_reasons(df, "raw_id", "raw"))
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    assert rows(R.parse_with_reasons(df, "raw_id", "raw")) == want
+    assert rows(R.reject_reasons(df, "raw_id", "raw")) == [t[:2] for t in want if t[1] is not None]
+
+
 def test_reject_reasons(spark):
     cases = {None: "null line", "a\0": "nul character", "a\nb.c\tf\t1\tx": "line break inside", 'a.c\tf"\t1\tx': "broken quoting", "a.c\tf\t1": "wrong column count",
              " \tf\t1\tx": "blank file", "a.txt\tf\tq\tx": "not a source file", "a.c\tf\t1.0\tx": "line isn't digits", "a.c\tf\t9223372036854775808\tx": "line out of range"}
