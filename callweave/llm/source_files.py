@@ -53,7 +53,7 @@ VERSION_MACRO = r"^\s*#\s*define\s+\w+_VERSION(?:_STRING)?\b"
 NUMBER_ROW = r"^[-+0-9a-fA-FxXuUlL.,{}\s]{16,}$"
 STRING_ROW = r'^\s*"[^"]{24,}"\s*[,;)}]*\s*$'
 #: Digits, hexadecimal ones among them: what tells the rows of a template apart.
-VARYING = "0123456789abcdefABCDEF"
+VARYING = "[0-9][0-9a-fA-F]*+"
 
 #: Upper ends of the bins of each feature; a value beyond the last one, or null, has a bin of its own.
 #: Those of word lists are named apart, so that they can be left out.
@@ -108,7 +108,7 @@ def starting_model(word_lists: bool = True) -> Model:
 
 
 def _normal(path: Column) -> Column:
-    return F.lower(F.translate(path, "\\", "/"))
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
 
 
 def _parent(path: str) -> Column:
@@ -172,7 +172,7 @@ def file_features(rows: list[DataFrame], word_lists: bool = True) -> DataFrame:
     all_rows = _all_rows(rows)
     lead, c = F.substring("_c", 1, 1), F.col("_c")
     length = F.length(c)
-    digits = length - F.length(F.translate(c, "0123456789", ""))
+    digits = length - F.length(F.regexp_replace(c, "[0-9]+", ""))
     blank = length - F.length(F.replace(c, F.lit(" ")))
     dense = (length > 250) & (blank < 0.1 * length)
     data = F.when(lead.rlike(r'[-+0-9.{"]'), c.rlike(NUMBER_ROW) | c.rlike(STRING_ROW)).otherwise(False)
@@ -188,7 +188,7 @@ def file_features(rows: list[DataFrame], word_lists: bool = True) -> DataFrame:
             count(data).alias("_data"),
             count(dense & ~data).alias("_dense"),
             count(numbered).alias("_numbered"),
-            F.approx_count_distinct(F.when(numbered, F.translate(c, VARYING, "")), 0.1).alias("_templates"),
+            F.approx_count_distinct(F.when(numbered, F.regexp_replace(c, VARYING, "0")), 0.1).alias("_templates"),
             count(lead.isin("/", "*")).alias("_comments"),
             F.sum(length).alias("_length"),
             F.sum(blank).alias("_blanks"),
