@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from callweave.operators import hierarchy as H
 from callweave.operators.orphans import below
 from callweave.operators.relations import functions, leaf_symbols
-from callweave.operators.skew import salted_join
+from callweave.operators.skew import hot_parts, key_counts, salted_join
 from callweave.runtime import cut, cut_counting
 
 
@@ -102,11 +102,14 @@ def dependency_levels(defs: DataFrame, rows: DataFrame) -> DataFrame:
     """
     fs = cut(functions(defs))
     name = fs.select(F.col("symbol").alias("_f"))
-    inner = cut(
+    inner, seen = cut_counting(
         _edges(rows)
         .join(name, F.col("src") == F.col("_f"), "left_semi")
-        .join(name, F.col("dst") == F.col("_f"), "left_semi")
+        .join(name, F.col("dst") == F.col("_f"), "left_semi"),
+        n=F.count(F.lit(1)),
+        top=key_counts(F.col("dst")),
     )
+    hot = hot_parts(seen["top"], seen["n"])
     leaves = leaf_symbols(defs, rows).select(F.col("symbol").alias("_l"))
     needs = inner.groupBy(F.col("src").alias("_s")).agg(F.count(F.lit(1)).alias("_need"))
     need = cut(
@@ -119,7 +122,7 @@ def dependency_levels(defs: DataFrame, rows: DataFrame) -> DataFrame:
     levels, done, level = front.withColumn("level", F.lit(1)), front.withColumn("have", F.lit(0).cast("bigint")).limit(0), 1
     outside = need.where("need = 0 and not leaf").select("symbol", F.lit(0).cast("bigint").alias("have"), F.lit(True).alias("all"))
     while True:
-        more = inner.join(front, F.col("dst") == F.col("symbol")).groupBy("src").agg(F.count(F.lit(1)).alias("have"))
+        more = salted_join(inner, front.withColumnRenamed("symbol", "dst"), "dst", parts=hot).groupBy("src").agg(F.count(F.lit(1)).alias("have"))
         have = done.unionByName(more.select(F.col("src").alias("symbol"), "have")).groupBy("symbol").agg(F.sum("have").alias("have"))
         state = have.join(wanted, F.col("symbol") == F.col("_w")).select("symbol", "have", (F.col("have") == F.col("need")).alias("all"))
         state, got = cut_counting(state.unionByName(outside) if level == 1 else state, n=F.count_if("all"))

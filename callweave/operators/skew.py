@@ -45,25 +45,41 @@ def _candidates(one: DataFrame, share: float) -> DataFrame:
     return sketch.select(F.inline("top"))
 
 
-def salted_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", share: float = 1 / 64) -> DataFrame:
+def key_counts(key: Column, share: float = 1 / 64) -> Column:
+    """An aggregate, such as cut_counting takes, for hot_parts: the most frequent keys by a sketch."""
+    k = math.ceil(2 / share)
+    return F.call_function("approx_top_k", key, F.lit(k), F.lit(10 * k))
+
+
+def hot_parts(counts: list | None, total: int | None, share: float = 1 / 64) -> dict:
+    """Keys with about share of all rows or more, with the number of parts to split each into."""
+    least = share * max(total or 0, 1)
+    return {r["item"]: math.ceil(r["count"] / least) for r in counts or [] if r["item"] is not None and r["count"] >= least}
+
+
+def salted_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", share: float = 1 / 64, parts: dict | None = None) -> DataFrame:
     """rows joined with other on a column that both have, for a key that may hold most of the rows.
 
     A sketch over rows names at most 2/share keys with about share of the rows or more; only these few
     are broadcast, with the number of parts that each is split into. Their rows in other are repeated
     once for each part. other should have few rows a key. how is inner, left or left_semi. Null keys
-    match nothing; with left they are kept, and spread.
+    match nothing; with left they are kept, and spread. parts hands in hot_parts where the keys were
+    counted when rows was written; if there are none it is an ordinary join.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("how is inner, left or left_semi")
-    k = math.ceil(2 / share)
-    sketch = rows.select(F.col(key).alias("_k")).agg(
-        F.count(F.lit(1)).alias("_all"), F.expr(f"approx_top_k(_k, {k}, {100 * k})").alias("_top")
-    )
-    hot = (
-        sketch.select("_all", F.inline("_top"))
-        .where(F.col("count") >= F.lit(share) * F.col("_all"))
-        .select(F.col("item").alias("_hot"), F.ceil(F.col("count") / (F.lit(share) * F.col("_all"))).cast("int").alias("_parts"))
-    )
+    if parts is not None and not parts:
+        return rows.join(other, key, how)
+    if parts is not None:
+        kind = rows.schema[key].dataType.simpleString()
+        hot = rows.sparkSession.createDataFrame(list(parts.items()), f"_hot {kind}, _parts int")
+    else:
+        sketch = rows.select(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_all"), key_counts(F.col("_k"), share).alias("_top"))
+        hot = (
+            sketch.select("_all", F.inline("_top"))
+            .where(F.col("count") >= F.lit(share) * F.col("_all"))
+            .select(F.col("item").alias("_hot"), F.ceil(F.col("count") / (F.lit(share) * F.col("_all"))).cast("int").alias("_parts"))
+        )
     hot = F.broadcast(hot)
     spread = F.xxhash64(*rows.columns)
     mine = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(

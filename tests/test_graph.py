@@ -178,6 +178,23 @@ def test_components_of_dense_graphs_and_long_chains(spark):
     assert H.root_paths(chain.where("src in ('n1', 'n2', 'n3')")).count() == 4
 
 
+def test_hot_parents(spark):
+    """One name with most of the children, on a cycle and off it: its rows are split, the result is the same."""
+    n = 1500
+    star = [("top", "hub")] + [("hub", f"a{i}") for i in range(n)] + [(f"a{i}", f"b{i}") for i in range(n)]
+    e = spark.createDataFrame(star, "src string, dst string").repartition(4)
+    got = {(r["root"], r["name"]): r["path"] for r in H.root_paths(e).collect()}
+    assert len(got) == 2 * n + 2 and all(got["top", f"b{i}"] == ["top", "hub", f"a{i}", f"b{i}"] for i in range(n))
+    assert H.on_cycles(e).isEmpty()
+    looped = e.union(spark.createDataFrame([(f"b{i}", "hub") for i in range(0, n, 2)], "src string, dst string"))
+    assert {r["name"] for r in H.on_cycles(looped).collect()} == {"hub"} | {f"{c}{i}" for c in "ab" for i in range(0, n, 2)}
+    fs = ["top", "hub", *(f"{c}{i}" for c in "ab" for i in range(n))]
+    calls, defs = call_rows(spark, [(b, a) for a, b in star]), def_rows(spark, fs)  # everybody calls the hub in the end
+    sizes = {k: len(v) for k, v in levels(spark, fs, [(b, a) for a, b in star]).items()}
+    assert sizes == {1: 1, 2: 1, 3: n, 4: n}
+    assert G.level_listing(G.dependency_levels(defs, calls), calls).count() == 2 * n + 2
+
+
 def test_path_counts_are_whole_or_an_error(spark):
     calls = call_rows(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")])
     with pytest.raises(ValueError):
