@@ -71,8 +71,8 @@ def salted_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner",
     if parts is not None and not parts:
         return rows.join(other, key, how)
     if parts is not None:
-        kind = rows.schema[key].dataType.simpleString()
-        hot = rows.sparkSession.createDataFrame(list(parts.items()), f"_hot {kind}, _parts int")
+        each = [F.struct(F.lit(k).alias("_hot"), F.lit(n).alias("_parts")) for k, n in parts.items()]
+        hot = rows.sparkSession.range(1).select(F.inline(F.array(*each)))
     else:
         sketch = rows.select(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_all"), key_counts(F.col("_k"), share).alias("_top"))
         hot = (
